@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmesh.llm import format_dupes, near_dupes, set_join, shared_spans
+from inkmesh.llm import format_dupes, languages, leakage, near_dupes, packing, set_join, shared_spans
 from inkmesh.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,9 +58,58 @@ def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.links_per_record(read_table(spark, sf_dir, "neighborhoods"), tau=0.5)
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_counts(read_table(spark, sf_dir, "documents")))
+
+
+def p6_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.summary(p6_containers(spark, sf_dir))
+
+
+def p7_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_alignments(spark, sf_dir).where(F.col("longest_run") >= leakage.RUN).select("doc_id", "item_id")
+
+
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.detect(read_table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.mislabelled(_detected(spark, sf_dir))
+
+
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.languages(_detected(spark, sf_dir))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.segments(_detected(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_shared_part, p1_passages, p2_found, p2_collapsed, p4_found, p4_groups, p5_found, p5_links)
+    for f in (
+        p1_found,
+        p1_shared_part,
+        p1_passages,
+        p2_found,
+        p2_collapsed,
+        p4_found,
+        p4_groups,
+        p5_found,
+        p5_links,
+        p6_containers,
+        p6_summary,
+        p7_found,
+        p7_alignments,
+        p8_found,
+        p8_languages,
+        p8_segments,
+    )
 }
 
 _GRAMS = """
@@ -94,7 +143,20 @@ SELECT a AS set_a, b AS set_b FROM p JOIN n na ON na.set_id = a JOIN n nb ON nb.
 WHERE i / (na.n + nb.n - i) >= 0.5
 """
 
+_LEAKS = r"""
+WITH s AS (SELECT doc_id, regexp_replace(array_to_string(list_filter(string_split(replace(text, chr(13), ''), chr(10)),
+    lambda x: NOT contains(x, '-->') AND regexp_matches(x, '\p{L}')), chr(10)),
+    '<[^<>\n]*>|\{[^{}\n]*\}|\[[^\[\]\n]*\]|\([^()\n]*\)', '', 'g') AS t
+  FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM s),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+bg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM b))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN bg ON dg.g = bg.g
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p7_found": _LEAKS,
     "p1_found": _GRAMS,
     "p2_found": _COPIES + "SELECT first_id, row_id FROM r JOIN k ON r.d = k.d AND r.p = k.p AND r.c IS NOT DISTINCT FROM k.c WHERE row_id <> first_id",
     "p2_collapsed": _COPIES
