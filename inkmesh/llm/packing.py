@@ -163,30 +163,32 @@ def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values(_ITEMS, ascending=[False, True, True], kind="stable")
 
 
+def _island(capacity: int, generations: int, epoch: int):
+    """One epoch of one island: its items and the elites it starts from."""
+
+    def run(pdf: pd.DataFrame, came: list) -> pd.DataFrame:
+        shard, island = int(pdf["shard"].iloc[0]), int(pdf["island"].iloc[0])
+        sizes = _ordered(pdf)["size"].to_numpy(dtype=np.int64)
+        seed = (shard * 1_000_003 + island * 1009 + epoch) & 0x7FFFFFFF
+        bins, fitness = evolve(sizes, capacity, seed, [np.asarray(b, dtype=np.int64) for b in came], generations)
+        return pd.DataFrame({"shard": [shard], "island": [island], "fitness": [fitness], "bins": [bins.astype(np.int32)]})
+
+    return run
+
+
 def pack_shards(items: DataFrame, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS) -> DataFrame:
     """(shard, doc_id, piece, size, bin, fill) of items (shard, doc_id, piece, size)."""
     each = items.select("shard", *_ITEMS).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
     elites: DataFrame | None = None
     for epoch in range(epochs):
-
-        def run(pdf: pd.DataFrame, came: pd.DataFrame | None, epoch: int = epoch) -> pd.DataFrame:
-            shard, island = int(pdf["shard"].iloc[0]), int(pdf["island"].iloc[0])
-            sizes = _ordered(pdf)["size"].to_numpy(dtype=np.int64)
-            known = [] if came is None else [np.asarray(b, dtype=np.int64) for b in came.sort_values("fitness")["bins"]]
-            seed = (shard * 1_000_003 + island * 1009 + epoch) & 0x7FFFFFFF
-            bins, fitness = evolve(sizes, capacity, seed, known, generations)
-            return pd.DataFrame({"shard": [shard], "island": [island], "fitness": [fitness], "bins": [bins.astype(np.int32)]})
-
+        run = _island(capacity, generations, epoch)
         if elites is None:
-            made = each.groupBy("shard", "island").applyInPandas(lambda pdf, f=run: f(pdf, None), _ELITE)
+            made = each.groupBy("shard", "island").applyInPandas(lambda pdf: run(pdf, []), _ELITE)
         else:
             # A ring: every island keeps its own elite and gets that of the island before.
             moved = elites.withColumn("island", F.explode(F.array_distinct(F.array("island", F.pmod(F.col("island") + 1, F.lit(islands))))))
-            made = (
-                each.groupBy("shard", "island")
-                .cogroup(moved.groupBy("shard", "island"))
-                .applyInPandas(lambda pdf, came, f=run: f(pdf, came), _ELITE)
-            )
+            both = each.groupBy("shard", "island").cogroup(moved.groupBy("shard", "island"))
+            made = both.applyInPandas(lambda pdf, came: run(pdf, list(came.sort_values("fitness")["bins"])), _ELITE)
         elites = cut(made)
     best = elites.groupBy("shard").agg(F.max_by("bins", F.struct("fitness", F.negate("island"))).alias("bins"))
 
