@@ -6,9 +6,10 @@ Jaccard >= tau differ in at most D = (a + b)(1 - tau) / (1 + tau) tokens, so at
 blocks agree (pigeonhole): sets that agree in a block meet, a parity sketch whose Hamming
 distance bounds the symmetric difference from below drops most, and the rest are verified.
 
-Nothing is lost to skew: empty blocks and blocks shared by more than HOT sets are no join
-keys; only where they could be the sole agreement (E + H >= B - D) a set also goes, with its
-tokens ordered by rising frequency, through a prefix filter, which is exact for two such sets.
+Nothing is lost to skew: empty blocks (E) and blocks shared by more than HOT sets (H) are no
+join keys, and a pair must agree in B - D - E - H other blocks. Only a set for which that is
+none also goes, with its tokens ordered by rising frequency, through a prefix filter, which is
+exact for two such sets.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from inkmesh.llm.common import expand, hamming, max_difference, meet, parity_sketch
 from inkmesh.session import cut, skew_join
 
-HOT, SLACK, WORDS = 200, 1.5, 8
+HOT, SLACK, WORDS = 64, 1.5, 8
 _SK = [f"s{w}" for w in range(WORDS)]
 
 
@@ -37,11 +38,11 @@ def shingles(words: Column, width: int) -> Column:
 def classes(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """From (id, text): (reps: rep, size, h), (members: rep, id), by equal shingle sets."""
     w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")
-    base = texts.where("id is not null and text is not null").select("id", w).where(F.size("w") >= width)
-    base = base.select("id", shingles(F.col("w"), width).alias("h"))
+    base = texts.where("id is not null and text is not null").select("id", w)
+    base = base.select("id", F.when(F.size("w") >= width, shingles(F.col("w"), width)).alias("h"))
     fp = F.concat_ws("-", F.hex(F.xxhash64("h")), F.hex(F.xxhash64(F.lit(1), "h")), F.size("h"))
-    base = base.withColumn("fp", fp)
-    reps = base.groupBy("fp").agg(F.min("id").alias("rep"), F.first("h").alias("h"), F.count(F.lit(1)).alias("n"))
+    base = cut(base.withColumn("fp", fp)).where("h is not null")
+    reps = cut(base.groupBy("fp").agg(F.min("id").alias("rep"), F.first("h").alias("h"), F.count(F.lit(1)).alias("n")))
     members = skew_join(base.select("fp", "id"), reps.select("fp", "rep", "n"), "fp", "n", "id")
     return reps.select("rep", F.size("h").alias("size"), "h"), members.select("rep", "id")
 
@@ -60,10 +61,11 @@ def level_plan(level: int, tau: float) -> tuple[int, int]:
 
 
 def block_keys(batches: Iterator[pa.RecordBatch], tau: float) -> Iterator[pa.RecordBatch]:
-    """(rep, level, size, room, empty, key) of every non-empty block of sets (rep, size, h).
+    """(rep, level, own, size, slack, key) of every non-empty block of sets (rep, size, h).
 
-    A set belongs to its own band as the smaller side and to the band below as the larger one.
-    ``room`` = B - D for this set, ``empty`` its number of empty blocks.
+    A set belongs to its ``own`` band as the smaller side and to the band below as the larger
+    one. ``slack`` = B - D less the set's empty blocks: so many blocks that hold tokens agree
+    with any similar set. Where that is none, one row without key says so.
     """
     for batch in batches:
         reps, sizes = batch.column("rep").to_numpy(), batch.column("size").to_numpy()
@@ -90,19 +92,22 @@ def block_keys(batches: Iterator[pa.RecordBatch], tau: float) -> Iterator[pa.Rec
             first = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (block[1:] != block[:-1])])
             xor, who, block = np.bitwise_xor.reduceat(t, first), o[first], block[first]
             empty = blocks.astype(np.int64) - np.bincount(who, minlength=len(reps))
+            slack = room - empty
             with np.errstate(over="ignore"):
                 key = (xor ^ (block * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
                 key ^= level[who].astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+            none = np.flatnonzero(meets & (slack <= 0))
+            row = np.r_[who, none]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(reps[who]),
-                    pa.array(level[who].astype(np.int32)),
-                    pa.array(sizes[who].astype(np.int32)),
-                    pa.array(room[who].astype(np.int32)),
-                    pa.array(empty[who].astype(np.int32)),
-                    pa.array(key.view(np.int64)),
+                    pa.array(reps[row]),
+                    pa.array(level[row].astype(np.int32)),
+                    pa.array(np.full(len(row), not below)),
+                    pa.array(sizes[row].astype(np.int32)),
+                    pa.array(slack[row].astype(np.int32)),
+                    pa.array(np.r_[key.view(np.int64), np.zeros(len(none), dtype=np.int64)], mask=np.arange(len(row)) >= len(who)),
                 ],
-                names=["rep", "level", "size", "room", "empty", "key"],
+                names=["rep", "level", "own", "size", "slack", "key"],
             )
 
 
@@ -127,20 +132,20 @@ def prefix_candidates(unlucky: DataFrame, reps: DataFrame, tau: float) -> DataFr
 
 
 def candidates(reps: DataFrame, tau: float) -> DataFrame:
-    """Distinct (a, b) of classes that agree in a block."""
-    schema = "rep bigint, level int, size int, room int, empty int, key bigint"
-    keys = reps.select("rep", "size", "h").mapInArrow(lambda it: block_keys(it, tau), schema)
+    """Distinct (a, b) of classes that agree in as many blocks as similar ones must."""
+    schema = "rep bigint, level int, own boolean, size int, slack int, key bigint"
+    every = reps.select("rep", "size", "h").mapInArrow(lambda it: block_keys(it, tau), schema)
+    keys = every.where("key is not null")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     live = cut(skew_join(keys, counts.withColumn("k", F.col("n")), "key", "k", "rep"))
-    cold = _ends(meet(live.where(F.col("n") <= HOT), "key", "n", "rep", ["size"], _close(tau)))
-    hot = live.where(F.col("n") > HOT).groupBy("rep", "level").agg(F.count(F.lit(1)).alias("hot"))
-    risk = keys.groupBy("rep", "level").agg(F.max("empty").alias("empty"), F.max("room").alias("room"))
-    unlucky = (
-        risk.join(hot, ["rep", "level"], "left")
-        .where(F.col("empty") + F.coalesce("hot", F.lit(0)) >= F.col("room"))
-        .select("rep", "level")
-    )
-    return cold.unionByName(prefix_candidates(cut(unlucky), reps, tau)).distinct()
+    hot = cut(live.where(F.col("n") > HOT).groupBy("rep", "level").agg(F.count(F.lit(1)).alias("hot"), F.max("slack").alias("slack")))
+    cold = live.where(F.col("n") <= HOT).join(hot.select("rep", "level", "hot"), ["rep", "level"], "left")
+    cold = cold.withColumn("need", F.col("slack") - F.coalesce("hot", F.lit(0)))
+    met = meet(cold, "key", "n", "rep", ["level", "own", "size", "need"], _close(tau) & (F.col("a_own") | F.col("b_own")))
+    agree = met.groupBy("a_rep", "b_rep", "a_level").agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest("a_need", "b_need")).alias("need"))
+    pairs = _ends(agree.where("c >= need"))
+    unlucky = every.where("key is null").select("rep", "level").unionByName(hot.where("hot >= slack").select("rep", "level")).distinct()
+    return pairs.unionByName(prefix_candidates(cut(unlucky), reps, tau)).distinct()
 
 
 def similar_classes(reps: DataFrame, tau: float) -> DataFrame:
@@ -161,7 +166,6 @@ def near_duplicate_pairs(texts: DataFrame, tau: float = 0.7, width: int = 3) ->
     taken whole. A record delivered twice counts once; an empty table gives no rows.
     """
     reps, members = classes(texts, width)
-    reps = cut(reps)
     return expand(similar_classes(reps, tau).select("a", "b"), members)
 
 
@@ -171,7 +175,6 @@ def near_duplicate_groups(texts: DataFrame, tau: float = 0.7, width: int = 3) ->
     Components by hash-to-minimum label exchange with pointer jumping, checkpointed each round.
     """
     reps, members = classes(texts, width)
-    reps = cut(reps)
     pairs = cut(similar_classes(reps, tau).select("a", "b"))
     label = components(reps.select("rep"), pairs)
     linked = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").count()
