@@ -46,41 +46,54 @@ def token_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-def compact_centres(h: np.ndarray, least: int) -> np.ndarray:
-    """Centres of the Cartesian tree's nodes (l, c, r) that span ``least`` tokens or more.
+def compact_centres(order: np.ndarray, width: int) -> np.ndarray:
+    """Places that are the smallest of some ``width`` neighbours in ``order`` (all different).
 
-    Top-down, the leftmost minimum first; all places of one minimum are taken at once, so
-    that periodic texts cost no more than others.
+    These are the nodes of the Cartesian tree over ``order`` that span ``width`` or more: the
+    node of a window's minimum reaches at least over that window. The minima of all windows
+    are found by doubling, so that no text, however periodic, costs more than others.
     """
-    out, todo = [], [(0, len(h))]
-    while todo:
-        lo, hi = todo.pop()
-        if hi - lo < least:
-            continue
-        part = h[lo:hi]
-        at = np.flatnonzero(part == part.min()) + lo
-        starts = np.r_[lo, at[:-1] + 1]
-        out.append(at[hi - starts >= least])
-        ends = np.r_[at, hi]
-        starts = np.r_[starts, at[-1] + 1]
-        wide = np.flatnonzero(ends - starts >= least)
-        todo.extend(zip(starts[wide].tolist(), ends[wide].tolist(), strict=True))
-    return np.sort(np.concatenate(out)) if out else np.array([], dtype=np.int64)
+    low, have = order, 1
+    while 2 * have <= width:
+        low = np.minimum(low[:-have], low[have:])
+        have *= 2
+    if have < width:
+        low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
+    return low
+
+
+_PLACE = np.uint64(24)  # bits of a place in CHUNK texts' tokens; the rest of the order is hash
+CHUNK = 1 << 22
+
+
+def _chunk_windows(reps: list[int], texts: list[str], span: int, gram: int) -> tuple[np.ndarray, ...]:
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    h, width = token_hashes(codes, gram), span - gram + 1
+    place = np.arange(len(h), dtype=np.uint64)
+    ends = np.cumsum([len(t) for t in texts])
+    # One text may be longer than a chunk: its places then wrap, which only matters for equal hashes.
+    order = (h >> _PLACE << _PLACE) | (place & np.uint64((1 << 24) - 1))
+    low = compact_centres(order, width)
+    start = np.arange(len(low))
+    inside = start + span <= ends[np.searchsorted(ends, start, side="right")]
+    base = start[inside].astype(np.uint64)
+    at = base + ((low[inside] - base) & np.uint64((1 << 24) - 1))
+    at = np.unique(at).astype(np.int64)
+    doc = np.searchsorted(ends, at, side="right")
+    return np.array(reps, dtype=np.int64)[doc], at - np.r_[0, ends[:-1]][doc], h[at].view(np.int64)
 
 
 def windows(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(rep, pos, key) of the compact windows of texts (rep, text)."""
+    """(rep, pos, key) of the compact windows of texts (rep, text) of at least ``span`` characters."""
     for batch in batches:
-        reps, pos, keys = [], [], []
-        for rep, text in zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            h = token_hashes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), gram)
-            c = compact_centres(h, span - gram + 1)
-            reps.append(np.full(len(c), rep, dtype=np.int64))
-            pos.append(c)
-            keys.append(h[c].view(np.int64))
-        if reps:
-            cols = [np.concatenate(x) for x in (reps, pos, keys)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["rep", "pos", "key"])
+        reps, texts = batch.column("rep").to_pylist(), batch.column("text").to_pylist()
+        first, chars = 0, 0
+        for k, t in enumerate(texts):
+            chars += len(t)
+            if chars >= CHUNK or k == len(texts) - 1:
+                cols = _chunk_windows(reps[first : k + 1], texts[first : k + 1], span, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["rep", "pos", "key"])
+                first, chars = k + 1, 0
 
 
 def classes(texts: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +111,7 @@ def forms(reps: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame]:
 
     l holds up to span - gram characters before the centre, r as many behind its token.
     """
-    w = reps.mapInArrow(lambda it: windows(it, span, gram), "rep bigint, pos bigint, key bigint")
+    w = cut(reps.mapInArrow(lambda it: windows(it, span, gram), "rep bigint, pos bigint, key bigint"))
     shared = w.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("k"))
     live = skew_join(w, shared.where("lo < hi").select("key", "k"), "key", "k", "rep")
     side = span - gram
