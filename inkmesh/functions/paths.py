@@ -40,5 +40,10 @@ def normpath(p: Column) -> Column:
     return F.when(p.rlike(r"(^|/)\.{0,2}(/|$)"), slow).otherwise(p)
 
 
+def beside(folder: Column, p: Column) -> Column:
+    """A path as seen from a folder, not yet normalised."""
+    return F.concat_ws("/", F.when(folder != "", folder), p)
+
+
 def join_path(folder: Column, p: Column) -> Column:
-    return normpath(F.concat_ws("/", F.when(folder != "", folder), p))
+    return normpath(beside(folder, p))

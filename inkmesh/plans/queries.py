@@ -1,28 +1,327 @@
-"""Queries of the core operators: name -> f(spark, sf_dir), and SQL where it can say the same."""
+"""Queries of the core operators: name -> f(spark, sf_dir)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkmesh.operators import orphan_refs
-from inkmesh.session import read_table
+from inkmesh.functions import color
+from inkmesh.operators import dupes, graph, groups, links, orphan_refs, redirects, rewrite
+from inkmesh.plans import oracle
+from inkmesh.session import cut, read_table
+from inkmesh.sources import vault as vaults
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL = oracle.SQL
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _vault(spark: SparkSession, sf_dir: str) -> vaults.Vault:
+    return vaults.from_tables(spark, sf_dir)
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[vaults.Vault, DataFrame, DataFrame]:
+    v = _vault(spark, sf_dir)
+    return v, v.notes.select("path"), cut(links.edges(v))
 
 
 def _three(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [read_table(spark, sf_dir, t) for t in ("links", "notes", "shared_files")]
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query
+def p3_found(spark, sf_dir):
     return orphan_refs.dangling_links(*_three(spark, sf_dir)).select("link_id", "slot")
 
 
-def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query
+def p3_report(spark, sf_dir):
     return orphan_refs.dangling_report(*_three(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_report)}
-ORACLE_SQL: dict[str, str] = {}
+@query
+def vault_stats(spark, sf_dir):
+    v = _vault(spark, sf_dir)
+    return graph.vault_stats(v.files, v.notes, v.dirs)
+
+
+@query
+def stems(spark, sf_dir):
+    return _vault(spark, sf_dir).stems
+
+
+@query
+def notes_by_dir(spark, sf_dir):
+    return _vault(spark, sf_dir).by_parent
+
+
+@query
+def wikilink_tokens(spark, sf_dir):
+    each = links.wikilinks(_vault(spark, sf_dir))
+    return each.groupBy("src", "raw").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def edges(spark, sf_dir):
+    return links.edges(_vault(spark, sf_dir))
+
+
+@query
+def degrees(spark, sf_dir):
+    _, v, e = _graph(spark, sf_dir)
+    return graph.degrees(v, e)
+
+
+@query
+def hubs(spark, sf_dir):
+    _, v, e = _graph(spark, sf_dir)
+    return graph.hubs(v, e)
+
+
+@query
+def islands(spark, sf_dir):
+    _, v, e = _graph(spark, sf_dir)
+    return graph.islands(v, e, 1)
+
+
+@query
+def link_stats(spark, sf_dir):
+    _, v, e = _graph(spark, sf_dir)
+    return graph.link_stats(v, e)
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, vertices, e = _graph(spark, sf_dir)
+    return graph.orphan_classes(vertices, e, groups.has_any_link(v.notes))
+
+
+@query
+def orphan_classes(spark, sf_dir):
+    return _classes(spark, sf_dir)
+
+
+@query
+def orphan_summary(spark, sf_dir):
+    return graph.orphan_summary(_classes(spark, sf_dir))
+
+
+@query
+def orphan_dirs(spark, sf_dir):
+    return graph.orphan_dirs(_classes(spark, sf_dir))
+
+
+@query
+def wanted(spark, sf_dir):
+    return links.unresolved(_vault(spark, sf_dir))
+
+
+@query
+def resolve_status(spark, sf_dir):
+    v = _vault(spark, sf_dir)
+    each = links.wikilinks(v).where("raw <> ''").select("src", "raw").distinct()
+    return links.status(each, v)
+
+
+@query
+def scan_tokens(spark, sf_dir):
+    each = links.scan_tokens(_vault(spark, sf_dir), ())
+    return each.groupBy("kind", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def scan_summary(spark, sf_dir):
+    return links.scan_summary(_vault(spark, sf_dir))
+
+
+@query
+def broken_links(spark, sf_dir):
+    return links.broken_links(_vault(spark, sf_dir), ()).groupBy("src", "kind", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def broken_by_top_dir(spark, sf_dir):
+    return links.broken_by_dir(_vault(spark, sf_dir), ())
+
+
+@query
+def broken_by_reference_dir(spark, sf_dir):
+    return links.broken_by_dir(_vault(spark, sf_dir), (), "30-reference/")
+
+
+@query
+def broken_by_file(spark, sf_dir):
+    return links.broken_by_file(_vault(spark, sf_dir))
+
+
+@query
+def exact_duplicates(spark, sf_dir):
+    return dupes.exact_duplicates(_living(spark, sf_dir))
+
+
+@query
+def exact_duplicates_whole(spark, sf_dir):
+    return dupes.exact_duplicates(_living(spark, sf_dir), include_frontmatter=True)
+
+
+def _living(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = read_table(spark, sf_dir, "notes").where("deleted_at is null and path is not null")
+    return raw.groupBy("path").agg(F.max_by("content", F.struct("created_at", "note_id")).alias("text"))
+
+
+@query
+def paragraph_duplicates(spark, sf_dir):
+    return dupes.paragraph_duplicates(_living(spark, sf_dir)).select("sha256", "count", F.size("occurrences").cast("bigint").alias("places"), "method")
+
+
+@query
+def line_duplicates(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return dupes.line_duplicates(docs).select("sha256", "count")
+
+
+def _top_hub(v: DataFrame, e: DataFrame) -> str:
+    return graph.hubs(v, e, 1).first()["path"]
+
+
+@query
+def neighbors_d1(spark, sf_dir):
+    _, v, e = _graph(spark, sf_dir)
+    return graph.neighbors(v, e, [_top_hub(v, e)], 1)
+
+
+@query
+def neighbors_d2(spark, sf_dir):
+    _, v, e = _graph(spark, sf_dir)
+    return graph.neighbors(v, e, [r["path"] for r in graph.hubs(v, e, 3).collect()], 2, "outgoing")
+
+
+@query
+def context(spark, sf_dir):
+    _, v, e = _graph(spark, sf_dir)
+    return graph.context(v, e, _top_hub(v, e))
+
+
+@query
+def expand(spark, sf_dir):
+    _, v, e = _graph(spark, sf_dir)
+    hits = graph.hubs(v, e, 5).select("path", (F.col("degree") / 100.0).alias("score"))
+    return graph.expand(v, e, hits, 1).select("path", "hop", "relation", "source", "anchor_score")
+
+
+@query
+def similar(spark, sf_dir):
+    _, v, e = _graph(spark, sf_dir)
+    return graph.similar(v, e, _top_hub(v, e))
+
+
+@query
+def structural_pairs(spark, sf_dir):
+    _, _, e = _graph(spark, sf_dir)
+    return graph.structural_pairs(e)
+
+
+@query
+def communities(spark, sf_dir):
+    _, v, e = _graph(spark, sf_dir)
+    return graph.communities(v, e)
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[vaults.Vault, DataFrame]:
+    v, vertices, e = _graph(spark, sf_dir)
+    pairs = graph.structural_pairs(e).select("left", "right", "score")
+    return v, dupes.review(pairs, v.notes, vertices, e)
+
+
+@query
+def review(spark, sf_dir):
+    return _reviewed(spark, sf_dir)[1]
+
+
+@query
+def plan(spark, sf_dir):
+    _, rows = _reviewed(spark, sf_dir)
+    return dupes.redirect_plan(rows.withColumn("action", F.lit("redirect")))
+
+
+@query
+def verify_plan(spark, sf_dir):
+    v, rows = _reviewed(spark, sf_dir)
+    return dupes.verify_plan(dupes.redirect_plan(rows.withColumn("action", F.lit("redirect"))), v.notes)
+
+
+@query
+def group_sizes(spark, sf_dir):
+    v, _, e = _graph(spark, sf_dir)
+    return groups.group_sizes(v, e)
+
+
+@query
+def group_topk(spark, sf_dir):
+    v, _, e = _graph(spark, sf_dir)
+    return groups.suggest(v, e, 20).select("name", "kind", "value", "obsidian_query", "property_query", "requires_kb_tool", "kb_command", "count")
+
+
+@query
+def fragments(spark, sf_dir):
+    return redirects.verify_fragments(_vault(spark, sf_dir)).groupBy("status", "ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def redirect_check(spark, sf_dir):
+    return redirects.verify_redirects(_vault(spark, sf_dir))
+
+
+def _moves(v: vaults.Vault) -> DataFrame:
+    """Every note moves to a folder of the same name with 'moved/' before it."""
+    bare = F.regexp_replace("path", r"\.md$", "")
+    return v.notes.select(bare.alias("old"), F.concat(F.lit("moved/"), bare).alias("new"))
+
+
+@query
+def preflight(spark, sf_dir):
+    v = _vault(spark, sf_dir)
+    return redirects.preflight(v, _moves(v)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def migration_stats(spark, sf_dir):
+    v = _vault(spark, sf_dir)
+    return redirects.migration_stats(v, _moves(v))
+
+
+@query
+def migrate_links(spark, sf_dir):
+    v = _vault(spark, sf_dir)
+    return rewrite.migrate_links(v.notes, _moves(v)).select("path", F.sha2("new_text", 256).alias("sha256"))
+
+
+@query
+def fix_pipes(spark, sf_dir):
+    return rewrite.fix_pipes(_living(spark, sf_dir)).select("path", "changes")
+
+
+@query
+def fix_unlinked(spark, sf_dir):
+    return rewrite.fix_unlinked(_vault(spark, sf_dir)).select("path", F.sha2("new_text", 256).alias("sha256"))
+
+
+@query
+def tidy_articles(spark, sf_dir):
+    out = rewrite.tidy_articles(_living(spark, sf_dir).where("text is not null"), "2025")
+    return out.groupBy((F.col("new_text") != F.col("old_text")).alias("changed"), "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def contrast_report(spark, sf_dir):
+    out = None
+    for name in color.PALETTES:
+        rows = color.contrast_checks(spark, color.palette(name)).withColumn("theme", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out

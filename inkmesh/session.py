@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,7 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -67,3 +70,17 @@ def skew_join(
     each = F.when(F.col("_hk").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = right.withColumn("_salt", F.explode(each)).drop("_hk", n)
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_inkmesh_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="inkmesh-code-")) / "inkmesh-code.zip"  # on the driver, which serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(archive))
+    sc._inkmesh_shipped = True
