@@ -69,7 +69,7 @@ def collapse(rows: DataFrame) -> DataFrame:
     Rows with null digest or paths stay, each for itself. A null row_id is dropped.
     """
     known = copies(rows)
-    once = rows.where("row_id is not null").dropDuplicates(["row_id"])
+    once = rows.select("row_id", "sha256", "paths", "count").where("row_id is not null").dropDuplicates(["row_id"])
     kept = once.join(known, "row_id", "left").where("first_id is null or first_id = row_id")
     return kept.select(
         "row_id", "sha256", F.size("paths").alias("n_paths"), "count", F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies")

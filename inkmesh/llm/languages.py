@@ -209,13 +209,13 @@ def train(labelled: list[tuple[str, str]]) -> Model:
     return model
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model from a bounded sample of labelled documents."""
+def fit(documents: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """Model from a bounded sample of labelled documents; None where no label names a language."""
     own = documents.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0))
     code = label_code(F.col("lang"))
     sizes = {r["code"]: r["n"] for r in documents.select(code.alias("code")).where("code is not null").groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        raise ValueError("no document has a label that names a language")
+        return None
     part = F.create_map(*(F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, sample / n))))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     labels = documents.select("doc_id", code.alias("code")).where(F.col("code").isNotNull()).where(draw < F.try_element_at(part, F.col("code")))
@@ -225,13 +225,13 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _detected(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    reader = Reader(model)
+    reader, blind = Reader(model), not model.grams
     seg = pa.struct([("first_cue", pa.int32()), ("last_cue", pa.int32()), ("lang", pa.string()), ("words", pa.int32()), ("confidence", pa.float64())])
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("words", pa.int32()), ("segments", pa.list_(seg))])
     for batch in batches:
         words, segments = [], []
         for text in batch.column("text").to_pylist():
-            at, scores, sizes = reader.read(text)
+            at, scores, sizes = reader.read("" if blind else text)
             own: list[dict] = []
             if at:
                 langs, sure = infer(scores, sizes)
@@ -252,9 +252,10 @@ def detect(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, lang, words, segments) of documents (doc_id, lang, text).
 
     A segment is a stretch of cues in one language. Null ids or texts are left out; texts
-    without spoken words have no segments; adverts are not counted.
+    without spoken words have no segments; adverts are not counted. Without a model, as where
+    no document at all has a label that names a language, no text has segments.
     """
-    model = model or fit(documents)
+    model = model or fit(documents) or Model({}, np.zeros(len(LANGUAGES)))
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", F.col("lang").cast("string"), "text")
     schema = (
         "doc_id bigint, lang string, words int, "
