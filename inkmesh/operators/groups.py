@@ -15,7 +15,7 @@ from inkmesh.sources.vault import Vault
 
 HUB_DEGREE = 10
 # The commands that list the members of health groups.
-COMMANDS = {"orphan": "kb orphan", "hub": "kb graph -m hubs", "broken-link": "kb scan"}
+COMMANDS = {"orphan": "inkmesh orphan", "hub": "inkmesh graph -m hubs", "broken-link": "inkmesh scan"}
 
 
 def head_block(text: Column) -> Column:
@@ -109,8 +109,8 @@ def suggest(vault: Vault, edges: DataFrame, limit: int | None = 50, theme: str =
         query.alias("obsidian_query"),
         F.when(field, F.concat_ws(":", k, v)).alias("property_query"),
         F.coalesce(F.try_element_at(color, k), F.lit(colors["path"])).alias("color"),
-        (k == "health").alias("requires_kb_tool"),
-        F.when(k == "health", of(COMMANDS)).alias("kb_command"),
+        (k == "health").alias("requires_tool"),
+        F.when(k == "health", of(COMMANDS)).alias("tool_command"),
         "count",
         "paths",
     ).orderBy(F.col("count").desc(), "name")

@@ -147,6 +147,6 @@ SELECT name, count(DISTINCT path) AS count FROM gm GROUP BY name""",
 SQL["group_topk"] = SQL["group_sizes"].rsplit("SELECT name, count(DISTINCT path) AS count", 1)[0] + """, c AS (SELECT name, count(DISTINCT path) AS count FROM gm GROUP BY name)
 SELECT name, string_split(name, ':')[1] AS kind, regexp_replace(name, '^[^:]*:', '') AS value,
 CASE string_split(name, ':')[1] WHEN 'tag' THEN 'tag:#' || name[5:] WHEN 'path' THEN CASE name WHEN 'path:.' THEN 'path:/' ELSE name END WHEN 'health' THEN '' ELSE '[' || name || ']' END AS obsidian_query,
-CASE WHEN name LIKE 'type:%' OR name LIKE 'status:%' THEN name END AS property_query, name LIKE 'health:%' AS requires_kb_tool,
-CASE name WHEN 'health:orphan' THEN 'kb orphan' WHEN 'health:hub' THEN 'kb graph -m hubs' WHEN 'health:broken-link' THEN 'kb scan' END AS kb_command, count
+CASE WHEN name LIKE 'type:%' OR name LIKE 'status:%' THEN name END AS property_query, name LIKE 'health:%' AS requires_tool,
+CASE name WHEN 'health:orphan' THEN 'inkmesh orphan' WHEN 'health:hub' THEN 'inkmesh graph -m hubs' WHEN 'health:broken-link' THEN 'inkmesh scan' END AS tool_command, count
 FROM c ORDER BY count DESC, name LIMIT 20"""

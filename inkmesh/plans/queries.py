@@ -265,7 +265,7 @@ def group_sizes(spark, sf_dir):
 @query
 def group_topk(spark, sf_dir):
     v, _, e = _graph(spark, sf_dir)
-    return groups.suggest(v, e, 20).select("name", "kind", "value", "obsidian_query", "property_query", "requires_kb_tool", "kb_command", "count")
+    return groups.suggest(v, e, 20).select("name", "kind", "value", "obsidian_query", "property_query", "requires_tool", "tool_command", "count")
 
 
 @query

@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from inkmesh.functions.paths import parent, stem
 from inkmesh.session import read_table
 
-# Fixed value: folders of the tool itself, never part of a vault on disk.
-OWN_FOLDERS = (".kb-tool-backup", ".inkmesh-backup", ".trash")
 # Fixed value: path prefixes a link scan leaves out unless told otherwise.
 SCAN_EXCLUDES = ("50-diary/", "60-archive/", "30-reference/references/bookmarks/archive/")
 
 
+def _own_folder(name: str) -> bool:
+    """Folders that tools keep for themselves, never part of a vault on disk."""
+    return name == ".trash" or (name.startswith(".") and name.endswith("-backup"))
+
+
 @dataclass
 class Vault:
     """``notes`` (path, text) and ``files`` (path) with one row per path."""
@@ -60,7 +63,7 @@ class Vault:
 
 def vault_root(value: str | Path | None = None) -> Path:
     """Root from an argument, the environment or the default, '~' expanded."""
-    return Path(value or os.environ.get("KB_ROOT") or "~/code/knowledge").expanduser()
+    return Path(value or os.environ.get("INKMESH_ROOT") or "~/code/knowledge").expanduser()
 
 
 def tracked_files(root: str | Path, pattern: str | None = None) -> list[str]:
@@ -73,7 +76,7 @@ def notes_on_disk(root: str | Path) -> list[str]:
     """Markdown files below a folder, tracked or not, sorted by path components."""
     base = Path(root)
     found = (p.relative_to(base) for p in base.rglob("*.md"))
-    return [p.as_posix() for p in sorted(found) if not set(p.parts) & set(OWN_FOLDERS)]
+    return [p.as_posix() for p in sorted(found) if not any(map(_own_folder, p.parts[:-1]))]
 
 
 def decode(strict: bool, name: str = "content") -> Column:
