@@ -197,7 +197,7 @@ def structural_pairs(edges: DataFrame, threshold: float = 0.25, limit: int | Non
     return out.limit(limit) if limit is not None else out
 
 
-COLOURS = 2
+COLOURS = 3
 
 
 def communities(vertices: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:

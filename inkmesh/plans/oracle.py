@@ -150,3 +150,35 @@ CASE string_split(name, ':')[1] WHEN 'tag' THEN 'tag:#' || name[5:] WHEN 'path'
 CASE WHEN name LIKE 'type:%' OR name LIKE 'status:%' THEN name END AS property_query, name LIKE 'health:%' AS requires_tool,
 CASE name WHEN 'health:orphan' THEN 'inkmesh orphan' WHEN 'health:hub' THEN 'inkmesh graph -m hubs' WHEN 'health:broken-link' THEN 'inkmesh scan' END AS tool_command, count
 FROM c ORDER BY count DESC, name LIMIT 20"""
+
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+DANGLING = f"""
+WITH life AS (SELECT path, created_at AS s, deleted_at AS e, 'notes' AS tab FROM notes UNION SELECT path, added_at, deleted_at, 'shared_files' FROM shared_files),
+names AS (SELECT string_split(path, '/')[-1] AS name, s, e, tab FROM life),
+lk AS (SELECT DISTINCT ON (link_id) * FROM links WHERE seen_at IS NOT NULL),
+t1 AS (SELECT *, trim(raw, {_WS}) AS t FROM lk WHERE raw IS NOT NULL),
+t2 AS (SELECT *, CASE WHEN kind = 'wikilink' THEN regexp_replace(t, '\\\\?\\|.*$', '', 's')
+  WHEN kind = 'markdown' THEN trim(regexp_replace(t, '\\s+("[^"]*"|''[^'']*'')\\s*$', ''), {_WS}) ELSE t END AS u FROM t1),
+t3 AS (SELECT *, CASE WHEN kind = 'markdown' THEN url_decode(regexp_replace(u, '^<(.*)>$', '\\1', 's')) ELSE u END AS w FROM t2),
+t4 AS (SELECT *, trim(ltrim(trim(string_split(w, '#')[1], {_WS}), '!'), {_WS}) AS x FROM t3),
+t5 AS (SELECT *, ltrim(x, '/') AS y FROM t4 WHERE x <> '' AND NOT regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.\\-]*:')),
+pk AS (SELECT link_id, 0 AS slot, seen_at, {_norm("y")} AS k FROM t5 UNION SELECT link_id, 0, seen_at, {_norm(_FOLDER + " || '/' || y")} FROM t5 WHERE src IS NOT NULL),
+pe AS (SELECT link_id, slot, seen_at, unnest([k, k || '.md']) AS k FROM pk
+  UNION SELECT link_id, CAST(i AS INTEGER), seen_at, candidates[i] FROM (SELECT link_id, seen_at, candidates, unnest(range(1, len(candidates) + 1)) AS i FROM lk) WHERE candidates[i] IS NOT NULL),
+ne AS (SELECT link_id, 0 AS slot, seen_at, unnest([x, x || '.md']) AS k FROM t5 WHERE kind = 'wikilink' AND NOT contains(x, '/')),
+rf AS (SELECT DISTINCT link_id, slot, seen_at FROM pe),
+al AS (SELECT link_id, slot FROM pe JOIN life ON k = path AND s <= seen_at AND (e IS NULL OR seen_at < e)
+  UNION SELECT link_id, slot FROM ne JOIN names ON k = name AND s <= seen_at AND (e IS NULL OR seen_at < e)),
+lost AS (SELECT rf.* FROM rf ANTI JOIN al ON al.link_id = rf.link_id AND al.slot = rf.slot)
+"""
+SQL["p3_found"] = DANGLING + "SELECT link_id, slot FROM lost"
+SQL["p3_report"] = (
+    DANGLING
+    + """, ev AS (SELECT link_id, slot, tab FROM pe JOIN life ON k = path UNION SELECT link_id, slot, tab FROM ne JOIN names ON k = name),
+mn AS (SELECT link_id, slot, min(tab) AS tab FROM ev GROUP BY 1, 2)
+SELECT coalesce(tab, 'none') AS referenced, strftime(seen_at, '%Y-%m') AS month, count(*) AS dangling, count(DISTINCT lost.link_id) AS links
+FROM lost LEFT JOIN mn ON mn.link_id = lost.link_id AND mn.slot = lost.slot GROUP BY 1, 2"""
+)
+SQL["line_duplicates"] = rf"""
+WITH l AS (SELECT doc_id, trim(unnest(regexp_split_to_array(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\n\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')), {_WS}) AS t FROM documents WHERE text IS NOT NULL)
+SELECT sha256(t) AS sha256, count(*) AS count FROM l WHERE length(t) >= 40 GROUP BY 1 HAVING min(CAST(doc_id AS VARCHAR)) < max(CAST(doc_id AS VARCHAR))"""
