@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkmesh.functions.text import body, newlines, normal_content, split_lines, strip_ws
 from inkmesh.operators.graph import degrees, neighbour_pairs
+from inkmesh.session import skew_join
 
 
 def by_components(paths: Column) -> Column:
@@ -15,20 +16,28 @@ def by_components(paths: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["p"])
 
 
-def exact_duplicates(notes: DataFrame, include_frontmatter: bool = False, limit: int | None = None) -> DataFrame:
-    """(sha256, paths, count, method, includes_frontmatter) of notes with equal content.
+def exact_members(notes: DataFrame, include_frontmatter: bool = False) -> DataFrame:
+    """(sha256, path, count) of every note with the content of another, one row each.
 
-    Without frontmatter by default, trailing blanks ignored; with it, texts are compared as they
-    are but for line ends. Notes without text are left out.
+    The form for any size: groups are counted in parts and never gathered. Without frontmatter
+    by default, trailing blanks ignored; with it, texts are compared as they are but for line
+    ends. Notes without text are left out.
     """
+    text = newlines(F.col("text")) if include_frontmatter else normal_content(F.col("text"))
+    keyed = notes.where("text is not null").select(F.sha2(text, 256).alias("sha256"), "path")
+    sizes = keyed.groupBy("sha256").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > 1)
+    return skew_join(keyed, sizes.withColumn("_n", F.col("count")), "sha256", "_n", "path")
+
+
+def exact_duplicates(notes: DataFrame, include_frontmatter: bool = False, limit: int | None = None) -> DataFrame:
+    """(sha256, paths, count, method, includes_frontmatter), the report form of exact_members: a row per group."""
     if limit is not None and limit < 1:
         raise ValueError("limit must be at least 1")
-    text = newlines(F.col("text")) if include_frontmatter else normal_content(F.col("text"))
-    groups = notes.where("text is not null").groupBy(F.sha2(text, 256).alias("sha256")).agg(F.collect_list("path").alias("paths"))
-    out = groups.where(F.size("paths") > 1).select(
+    groups = exact_members(notes, include_frontmatter).groupBy("sha256").agg(F.collect_list("path").alias("paths"), F.max("count").alias("count"))
+    out = groups.select(
         "sha256",
         by_components(F.col("paths")).alias("paths"),
-        F.size("paths").cast("bigint").alias("count"),
+        "count",
         F.lit("exact").alias("method"),
         F.lit(include_frontmatter).alias("includes_frontmatter"),
     )
@@ -42,16 +51,16 @@ def paragraphs(notes: DataFrame, parity: bool = False) -> DataFrame:
     ``line`` counts from 1 in the text after the head block. With ``parity`` the line that closes
     a fence begins the next paragraph, else it belongs to none.
     """
-    lines = notes.where("text is not null").select("path", F.posexplode(split_lines(body(newlines(F.col("text"))))).alias("i", "raw"))
-    lines = lines.withColumn("t", strip_ws(F.col("raw")))
+    each = notes.where("text is not null").select("path", F.posexplode(split_lines(body(newlines(F.col("text"))))).alias("i", "raw"))
+    each = each.withColumn("t", strip_ws(F.col("raw")))
     w = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     fence = F.col("t").rlike("^(```|~~~)").cast("int")
-    lines = lines.withColumn("fence", fence).withColumn("open", F.sum("fence").over(w) % 2 == 1)
+    each = each.withColumn("fence", fence).withColumn("open", F.sum("fence").over(w) % 2 == 1)
     stop = F.col("open") | (F.col("t") == "") | F.col("t").rlike("^[#>]")
     if not parity:
         stop = stop | (F.col("fence") == 1)
-    lines = lines.withColumn("stop", stop).withColumn("island", F.sum(F.col("stop").cast("int")).over(w)).where(~F.col("stop"))
-    each = lines.groupBy("path", "island").agg(F.array_sort(F.collect_list(F.struct("i", "raw"))).alias("l"))
+    each = each.withColumn("stop", stop).withColumn("island", F.sum(F.col("stop").cast("int")).over(w)).where(~F.col("stop"))
+    each = each.groupBy("path", "island").agg(F.array_sort(F.collect_list(F.struct("i", "raw"))).alias("l"))
     text = strip_ws(F.array_join(F.transform("l", lambda x: x["raw"]), "\n"))
     return each.select("path", (F.element_at("l", 1)["i"] + 1).alias("line"), text.alias("text"))
 
@@ -61,19 +70,31 @@ def paragraph_duplicates(notes: DataFrame, min_chars: int = 40, parity: bool = F
     return repeated(paragraphs(notes, parity), min_chars)
 
 
-def line_duplicates(notes: DataFrame, min_chars: int = 40) -> DataFrame:
-    """The same for single lines, for texts that do not part paragraphs."""
+def lines(notes: DataFrame) -> DataFrame:
+    """(path, line, text) of single lines, for texts that do not part paragraphs."""
     each = notes.where("text is not null").select("path", F.posexplode(split_lines(newlines(F.col("text")))).alias("i", "raw"))
-    return repeated(each.select("path", (F.col("i") + 1).alias("line"), strip_ws(F.col("raw")).alias("text")), min_chars)
+    return each.select("path", (F.col("i") + 1).alias("line"), strip_ws(F.col("raw")).alias("text"))
 
 
-def repeated(passages: DataFrame, min_chars: int) -> DataFrame:
+def repeated_groups(passages: DataFrame, min_chars: int) -> DataFrame:
+    """(sha256, count) of passages (path, line, text) that stand in several notes; counted in parts."""
+    keyed = passages.where(F.length("text") >= min_chars).select(F.sha2("text", 256).alias("sha256"), "path")
+    sizes = keyed.groupBy("sha256").agg(F.count(F.lit(1)).alias("count"), F.min("path").alias("lo"), F.max("path").alias("hi"))
+    return sizes.where("lo < hi").select("sha256", "count")
+
+
+def repeated_places(passages: DataFrame, min_chars: int) -> DataFrame:
+    """(sha256, path, line, text, count): a row for every place of a repeated passage."""
     keyed = passages.where(F.length("text") >= min_chars).withColumn("sha256", F.sha2("text", 256))
-    groups = keyed.groupBy("sha256").agg(
-        F.count(F.lit(1)).alias("count"), F.min("path").alias("lo"), F.max("path").alias("hi"), F.collect_list(F.struct("path", "line", "text")).alias("o")
-    )
-    shared = groups.where("lo < hi")
-    out = shared.select("sha256", "count", F.array_sort("o").alias("occurrences"), F.lit("paragraph-exact").alias("method"))
+    sizes = repeated_groups(passages, min_chars)
+    return skew_join(keyed, sizes.withColumn("_n", F.col("count")), "sha256", "_n", "path").select("sha256", "path", "line", "text", "count")
+
+
+def repeated(passages: DataFrame, min_chars: int) -> DataFrame:
+    """The report form of repeated_places: a row per passage with its occurrences."""
+    places = repeated_places(passages, min_chars)
+    groups = places.groupBy("sha256").agg(F.max("count").alias("count"), F.array_sort(F.collect_list(F.struct("path", "line", "text"))).alias("occurrences"))
+    out = groups.withColumn("method", F.lit("paragraph-exact"))
     return out.orderBy(F.col("count").desc(), "sha256")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmesh.functions.paths import top_dir
@@ -147,10 +147,6 @@ def expand(vertices: DataFrame, edges: DataFrame, results: DataFrame, depth: int
     return out.limit(limit) if limit is not None else out
 
 
-def _score(shared: Column, a: Column, b: Column) -> Column:
-    return shared / (a + b - shared)
-
-
 def similar(vertices: DataFrame, edges: DataFrame, node: str, top_n: int = 10) -> DataFrame:
     """(path, score, method, semantic): notes by Jaccard of neighbours with ``node``, zeros included."""
     nbrs = neighbour_pairs(edges)
@@ -171,29 +167,50 @@ def similar(vertices: DataFrame, edges: DataFrame, node: str, top_n: int = 10) -
 def structural_pairs(edges: DataFrame, threshold: float = 0.25, limit: int | None = 100) -> DataFrame:
     """(left, right, score, shared, union_size, method, semantic) of notes with common neighbours.
 
-    The degree ratio of a pair at the threshold is bounded by it, so pairs beyond are dropped
-    inside the join, before they are counted; nothing above the threshold is lost.
+    Notes with the same neighbours are one class, known by sums of hashes, so that a hub's
+    followers are not paired among themselves. Classes meet in the rarest of their neighbours
+    only: two sets above the threshold share one of their n - ceil(threshold * n) + 1 rarest, and
+    a hub is the last of them. With a limit, a class takes part with its first limit + 1 notes,
+    as no later one can be among the first pairs.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must lie between 0 and 1")
     nbrs = neighbour_pairs(edges)
-    sized = nbrs.join(nbrs.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path")
-    a = sized.select("nbr", F.col("path").alias("left"), F.col("n").alias("na"))
-    b = sized.select(F.col("nbr").alias("nbr_b"), F.col("path").alias("right"), F.col("n").alias("nb"))
+    h = F.xxhash64("nbr")
+    sums = (F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("s"))
+    keyed = nbrs.groupBy("path").agg(*sums)
+    classes = keyed.groupBy("n", "x", "s").agg(F.min("path").alias("rep"), F.count(F.lit(1)).alias("members"))
+    member = cut(keyed.join(classes, ["n", "x", "s"]).select("path", "rep", "n", "members"))
+    if limit is not None:
+        first = F.row_number().over(Window.partitionBy("rep").orderBy("path"))
+        member = member.withColumn("r", first).where(F.col("r") <= limit + 1).drop("r")
+    reps = member.where(F.col("path") == F.col("rep")).select("rep", "n")
+    tokens = cut(nbrs.join(reps, nbrs["path"] == reps["rep"]).select("rep", "nbr", "n"))
+    df = tokens.groupBy("nbr").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "nbr"))
+    head = tokens.join(df, "nbr").withColumn("r", rank)
+    head = head.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1) & (F.col("df") > 1))
+    a = head.select("nbr", F.col("rep").alias("a"), F.col("n").alias("na"))
+    b = head.select("nbr", F.col("rep").alias("b"), F.col("n").alias("nb"))
     ratio = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9
-    pairs = a.join(b, (F.col("nbr") == F.col("nbr_b")) & (F.col("left") < F.col("right")) & ratio)
-    i = pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    exact = _score(F.col("shared"), F.col("na"), F.col("nb"))
-    out = i.where(exact >= threshold).select(
-        "left",
-        "right",
-        F.round(exact, 6).alias("score"),
+    met = a.join(b, "nbr").where((F.col("a") < F.col("b")) & ratio).select("a", "b", "na", "nb").distinct()
+    ta, tb = tokens.select(F.col("rep").alias("a"), "nbr"), tokens.select(F.col("rep").alias("b"), "nbr")
+    i = met.join(ta, "a").join(tb, ["b", "nbr"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    union = F.col("na") + F.col("nb") - F.col("i")
+    across = i.where(F.col("i") / union >= threshold).select("a", "b", F.col("i").alias("shared"), union.alias("union_size"))
+    within = member.where("members > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("n").alias("shared"), F.col("n").alias("union_size")).distinct()
+    x = across.unionByName(within).join(member.select(F.col("rep").alias("a"), F.col("path").alias("p")), "a")
+    y = x.join(member.select(F.col("rep").alias("b"), F.col("path").alias("q")), "b")
+    y = y.where((F.col("a") != F.col("b")) | (F.col("p") < F.col("q")))
+    out = y.select(
+        F.least("p", "q").alias("left"),
+        F.greatest("p", "q").alias("right"),
+        F.round(F.col("shared") / F.col("union_size"), 6).alias("score"),
         "shared",
-        (F.col("na") + F.col("nb") - F.col("shared")).alias("union_size"),
+        "union_size",
         F.lit("jaccard").alias("method"),
         F.lit(False).alias("semantic"),
-    )
-    out = out.orderBy(F.col("score").desc(), "left", "right")
+    ).orderBy(F.col("score").desc(), "left", "right")
     return out.limit(limit) if limit is not None else out
 
 

@@ -88,9 +88,14 @@ def suggest(vault: Vault, edges: DataFrame, limit: int | None = 50, theme: str =
     if (limit is not None and limit < 1) or min_count < 1:
         raise ValueError("limit and min_count must be at least 1")
     colors = group_palette(theme)
-    groups = memberships(vault, edges, **kw).groupBy("name").agg(F.countDistinct("path").alias("count"), F.sort_array(F.collect_set("path")).alias("paths"))
+    member = memberships(vault, edges, **kw).distinct()
+    sizes = member.groupBy("name").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
+    if limit is not None:  # only the groups that are shown are gathered
+        sizes = sizes.orderBy(F.col("count").desc(), "name").limit(limit)
+    paths = F.sort_array(F.collect_list("path")).alias("paths")
+    groups = member.join(sizes, "name").groupBy("name").agg(F.max("count").alias("count"), paths)
     kind, value = F.substring_index("name", ":", 1), F.regexp_replace("name", "^[^:]*:", "")
-    rows = groups.where(F.col("count") >= min_count).withColumn("kind", kind).withColumn("value", value)
+    rows = groups.withColumn("kind", kind).withColumn("value", value)
     k, v = F.col("kind"), F.col("value")
     of = lambda pairs: F.try_element_at(F.create_map(*(F.lit(x) for p in pairs.items() for x in p)), F.when(k == "health", v).otherwise(k))
     field = k.isin("type", "status")
@@ -113,8 +118,8 @@ def suggest(vault: Vault, edges: DataFrame, limit: int | None = 50, theme: str =
         F.when(k == "health", of(COMMANDS)).alias("tool_command"),
         "count",
         "paths",
-    ).orderBy(F.col("count").desc(), "name")
-    return out.limit(limit) if limit is not None else out
+    )
+    return out.orderBy(F.col("count").desc(), "name")
 
 
 def group_sizes(vault: Vault, edges: DataFrame, **kw) -> DataFrame:

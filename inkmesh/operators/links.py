@@ -61,14 +61,15 @@ def status(links: DataFrame, vault: Vault, raw: str = "raw", src: str = "src") -
     """Add ``status`` (resolved, ambiguous, missing) and ``candidates`` to wikilink targets."""
     t = strip_ws(F.substring_index(F.col(raw), "#", 1))
     work = links.withColumn("_t", t).withColumn("_stem", stem(t))
-    many = vault.stems.where("n > 1").select(F.col("stem").alias("_stem"), F.col("candidates").alias("_many"))
+    # The flag comes from the count: where no one asks for candidates, none are gathered.
+    many = vault.stems.where("n > 1").select(F.col("stem").alias("_stem"), F.col("candidates").alias("_many"), F.col("n").alias("_n"))
     work = resolve(work, vault, "_t", src).join(many, "_stem", "left")
-    ambiguous = F.col("_many").isNotNull() & ~F.contains(F.col("_t"), F.lit("/"))
+    ambiguous = F.col("_n").isNotNull() & ~F.contains(F.col("_t"), F.lit("/"))
     found = F.col("target").isNotNull()
     state = F.when(ambiguous, "ambiguous").when(found, "resolved").otherwise("missing")
     none = F.array().cast("array<string>")
     cands = F.when(ambiguous, F.col("_many")).when(found, F.array("target")).otherwise(none)
-    return work.withColumn("status", state).withColumn("candidates", cands).drop("_t", "_stem", "_many", "target")
+    return work.withColumn("status", state).withColumn("candidates", cands).drop("_t", "_stem", "_many", "_n", "target")
 
 
 def scan_tokens(vault: Vault, exclude: tuple[str, ...] | None = None) -> DataFrame:

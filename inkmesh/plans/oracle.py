@@ -124,6 +124,8 @@ FROM sp JOIN fx a ON a.path = "left" JOIN fx b ON b.path = "right" """,
     + """SELECT 'redirect' AS operation, "left" AS source, "right" AS target, true AS preserve_alias, true AS rewrite_inbound_links, true AS keep_source_file,
 sha256(a.text) AS source_sha256, sha256(b.text) AS target_sha256 FROM sp JOIN v a ON a.path = "left" JOIN v b ON b.path = "right" """,
     "verify_plan": _PAIRS + """SELECT "left" AS source, "right" AS target, true AS ok, CAST([] AS VARCHAR[]) AS errors FROM sp""",
+    "exact_members": LIVING
+    + f", g AS (SELECT path, sha256(trim({_CLEAN_LINES.format('body')}, {_BLANK})) AS h FROM b) SELECT h AS sha256, path, count(*) OVER (PARTITION BY h) AS count FROM g QUALIFY count > 1",
     "exact_duplicates_whole": LIVING + ", g AS (SELECT path, sha256(text) AS h FROM v) " + _GROUPED.format("true"),
     "exact_duplicates": LIVING + f", g AS (SELECT path, sha256(trim({_CLEAN_LINES.format('body')}, {_BLANK})) AS h FROM b) " + _GROUPED.format("false"),
     "paragraph_duplicates": LIVING

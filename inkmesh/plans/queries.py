@@ -180,10 +180,20 @@ def paragraph_duplicates(spark, sf_dir):
     return dupes.paragraph_duplicates(_living(spark, sf_dir)).select("sha256", "count", F.size("occurrences").cast("bigint").alias("places"), "method")
 
 
+@query
+def paragraph_places(spark, sf_dir):
+    return dupes.repeated_places(dupes.paragraphs(_living(spark, sf_dir)), 40)
+
+
+@query
+def exact_members(spark, sf_dir):
+    return dupes.exact_members(_living(spark, sf_dir))
+
+
 @query
 def line_duplicates(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    return dupes.line_duplicates(docs).select("sha256", "count")
+    return dupes.repeated_groups(dupes.lines(docs), 40)
 
 
 def _top_hub(v: DataFrame, e: DataFrame) -> str:

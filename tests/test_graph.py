@@ -80,6 +80,26 @@ def test_similar_and_pairs(spark):
         graph.structural_pairs(e, 1.5)
 
 
+@pytest.mark.parametrize(("threshold", "limit"), [(0.0, None), (0.25, None), (0.25, 3), (0.6, 40), (1.0, 5)])
+def test_structural_pairs_against_model(spark, threshold, limit):
+    rng = random.Random(6)
+    edges = {(f"n{i}", rng.choice(["hub", "hub2", f"n{rng.randint(0, 39)}"])) for i in range(40) for _ in range(rng.randint(1, 4))}
+    edges = sorted((a, b) for a, b in edges if a != b)
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = []
+    for a in near:
+        for b in near:
+            i = len(near[a] & near[b])
+            if a < b and i and i / len(near[a] | near[b]) >= threshold:
+                want.append((-i / len(near[a] | near[b]), a, b))
+    want = [(a, b) for _, a, b in sorted((round(s, 6), a, b) for s, a, b in want)][:limit]
+    _, e = frames(spark, edges)
+    assert [(r["left"], r["right"]) for r in graph.structural_pairs(e, threshold, limit).collect()] == want
+
+
 def test_degrees_and_ties(spark):
     v, e = frames(spark, [("a", "b"), ("c", "b"), ("d", "c")], ["z"])
     assert [r["path"] for r in graph.hubs(v, e, 3).collect()] == ["b", "c", "a"]
