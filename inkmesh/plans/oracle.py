@@ -184,3 +184,111 @@ FROM lost LEFT JOIN mn ON mn.link_id = lost.link_id AND mn.slot = lost.slot GROU
 SQL["line_duplicates"] = rf"""
 WITH l AS (SELECT doc_id, trim(unnest(regexp_split_to_array(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\n\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')), {_WS}) AS t FROM documents WHERE text IS NOT NULL)
 SELECT sha256(t) AS sha256, count(*) AS count FROM l WHERE length(t) >= 40 GROUP BY 1 HAVING min(CAST(doc_id AS VARCHAR)) < max(CAST(doc_id AS VARCHAR))"""
+
+_CLEAN = (
+    "trim(string_split(url_decode(regexp_replace(regexp_replace(trim({0}, " + _WS + "), '^([^\\s]+)\\s+[\"''].*[\"'']$', '\\1'), '^<(.*)>$', '\\1', 's')), '#')[1], " + _WS + ")"
+)
+_SITES = "categories|category|tags|tag|archives|archive|changelog|start|docs|guide|guides|tutorial|tutorials|blog|skills-market|advanced|uploads"
+_CLASS = f"""CASE WHEN target = '' THEN 'anchor' WHEN regexp_matches(lower(target), '^[a-z][a-z0-9+.\\-]*:') THEN 'external'
+WHEN regexp_matches(target, '^(?i:path|local_path|url|new_path|old_path|your-|example|todo|xxx|\\$.*|[0-9]+|\\.+|.*\\*.*|.*<.*>.*)$') THEN 'placeholder'
+WHEN kind = 'markdown' AND (regexp_matches(lower(target), '^/?({_SITES})/') OR regexp_matches(lower(target), '^/.*\\.html?$')) THEN 'site_path'
+WHEN kind = 'markdown' AND regexp_matches(lower(target), '[^/]\\.html?$') AND starts_with(src, '30-reference/') THEN 'html_doc' ELSE 'path' END"""
+
+
+def _exists(tokens: str, out: str) -> str:
+    """Distinct (src, kind, target) of path-like targets that exist."""
+    t = "ltrim(target, '/')"
+    return f"""{out}_k AS (SELECT DISTINCT src, kind, target, {t} AS t, {_norm(_FOLDER + " || '/' || " + t)} AS near, {_norm(t)} AS away FROM {tokens}),
+{out}_b AS (SELECT src, kind, target, near AS b FROM {out}_k UNION SELECT src, kind, target, away FROM {out}_k WHERE NOT regexp_matches(t, '^\\.\\.?/')),
+{out}_p AS (SELECT src, kind, target, b AS k FROM {out}_b UNION SELECT src, kind, target, unnest([b || '.md', b || '/README.md', b || '/index.md']) FROM {out}_b WHERE NOT ends_with(b, '.md')),
+{out} AS (SELECT DISTINCT src, kind, target FROM {out}_p WHERE k IN (SELECT path FROM f UNION SELECT dir FROM dr)
+  UNION SELECT src, kind, target FROM {out}_k WHERE kind = 'wikilink' AND regexp_replace(string_split(t, '/')[-1], '(.)\\.[^.]+$', '\\1') IN (SELECT stem FROM st))"""
+
+
+SCAN = (
+    VAULT
+    + f""", cl AS (SELECT path AS src, regexp_replace(array_to_string(list_filter(string_split_regex(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^[ \\t]*(?:```|~~~)[^\\n]*$'),
+  lambda x, i: i % 2 = 1), ''), '`[^`\\n]+`', ' ', 'g') AS t FROM v),
+m0 AS (SELECT src, unnest(regexp_extract_all(t, '(^|[^!])\\[([^\\]\\n]+)\\]\\((?:<([^>\\n]+)>|([^)\\n]+))\\)', 3)) AS g3, unnest(regexp_extract_all(t, '(^|[^!])\\[([^\\]\\n]+)\\]\\((?:<([^>\\n]+)>|([^)\\n]+))\\)', 4)) AS g4 FROM cl),
+w0 AS (SELECT src, replace(unnest(regexp_extract_all(t, '\\[\\[([^\\]\\n]+)\\]\\]', 1)), '\\|', chr(1)) AS b FROM cl),
+t0 AS (SELECT src, 'markdown' AS kind, trim(CASE WHEN g3 <> '' THEN g3 ELSE g4 END, {_WS}) AS shown FROM m0
+  UNION ALL SELECT src, 'wikilink', replace(ltrim(trim(string_split(b, '|')[1], {_WS}), '!'), chr(1), '|') FROM w0),
+t1 AS (SELECT row_number() OVER () AS id, *, {_CLEAN.format("shown")} AS target FROM t0),
+tok AS (SELECT *, {_CLASS} AS class FROM t1),
+pt AS (SELECT * FROM tok WHERE class = 'path'),
+{_exists("pt", "ex")},
+l0 AS (SELECT pt.* FROM pt ANTI JOIN ex ON ex.src = pt.src AND ex.kind = pt.kind AND ex.target = pt.target),
+a0 AS (SELECT id, src, kind, {_CLEAN.format("trim(string_split(shown, '|')[1], " + _WS + ")")} AS target FROM l0 WHERE kind = 'wikilink' AND contains(shown, '|')),
+a1 AS (SELECT *, {_CLASS} AS class FROM a0),
+{_exists("a1", "ax")},
+sv AS (SELECT id FROM a1 WHERE class <> 'path' UNION SELECT id FROM a1 JOIN ax ON ax.src = a1.src AND ax.kind = a1.kind AND ax.target = a1.target),
+bl AS (SELECT l0.* FROM l0 ANTI JOIN sv ON sv.id = l0.id)
+"""
+)
+_DEFAULT = "NOT (starts_with(src, '50-diary/') OR starts_with(src, '60-archive/') OR starts_with(src, '30-reference/references/bookmarks/archive/'))"
+SQL["scan_tokens"] = SCAN + "SELECT kind, class, count(*) AS n FROM tok GROUP BY 1, 2"
+SQL["broken_links"] = SCAN + "SELECT src, kind, shown AS target, count(*) AS n FROM bl GROUP BY 1, 2, 3"
+SQL["broken_by_top_dir"] = SCAN + "SELECT CASE WHEN contains(src, '/') THEN string_split(src, '/')[1] ELSE src END AS dir, count(*) AS broken, min(src) AS first_src FROM bl GROUP BY 1"
+SQL["broken_by_reference_dir"] = (
+    SCAN + "SELECT array_to_string(string_split(src, '/')[1:2], '/') AS dir, count(*) AS broken, min(src) AS first_src FROM bl WHERE starts_with(src, '30-reference/') GROUP BY 1"
+)
+SQL["broken_by_file"] = SCAN + f"SELECT src, count(*) AS broken FROM bl WHERE {_DEFAULT} GROUP BY 1"
+SQL["scan_summary"] = (
+    SCAN
+    + f"""SELECT (SELECT count(*) FROM v WHERE {_DEFAULT.replace("src", "path")}) AS scan_files, count(*) AS tokens,
+count(*) FILTER (class = 'external') AS external_ignored, count(*) FILTER (class = 'placeholder') AS placeholder_ignored, count(*) FILTER (class = 'html_doc') AS html_doc_ignored,
+count(*) FILTER (class = 'site_path') AS site_path_ignored, (SELECT count(*) FROM bl WHERE {_DEFAULT}) AS broken_total, (SELECT count(DISTINCT src) FROM bl WHERE {_DEFAULT}) AS broken_files,
+(SELECT count(DISTINCT src) FROM bl WHERE {_DEFAULT} AND (src IN ('index.md', '30-reference/README.md') OR starts_with(src, '20-areas/') OR starts_with(src, '40-notes/'))) AS priority_files
+FROM tok WHERE {_DEFAULT}"""
+)
+SQL["redirect_check"] = (
+    RESOLVE
+    + f""", r0 AS (SELECT path AS src, trim(regexp_extract(text, '(?m)^>\\s+Moved to\\s+\\[\\[([^\\]|#]+)(?:#[^\\]|]+)?(?:\\|[^\\]]+)?\\]\\]\\.?\\s*$', 1), {_WS}) AS raw FROM v),
+rr AS (SELECT * FROM r0 WHERE raw <> ''),
+{_resolved("rr", "kr", "xr")},
+rd AS (SELECT xr.src AS source, CASE WHEN st.n > 1 AND NOT contains(raw, '/') THEN 'ambiguous' WHEN target IS NOT NULL THEN 'resolved' ELSE 'missing' END AS status,
+  CASE WHEN st.n > 1 AND NOT contains(raw, '/') THEN st.candidates WHEN target IS NOT NULL THEN [target] ELSE [] END AS candidates,
+  CASE WHEN target IS NOT NULL AND NOT (coalesce(st.n, 0) > 1 AND NOT contains(raw, '/')) THEN target ELSE raw END AS target
+  FROM xr LEFT JOIN st ON st.stem = regexp_replace(string_split(raw, '/')[-1], '(.)\\.[^.]+$', '\\1')),
+ch AS (SELECT rd.source, n.target AS at FROM rd JOIN rd n ON n.source = rd.target)
+SELECT rd.source, rd.target, CASE WHEN rd.status = 'resolved' AND ch.source IS NOT NULL THEN 'chain' ELSE rd.status END AS status, rd.candidates,
+ch.at AS final_target, rd.status = 'resolved' AND ch.source IS NULL AS ok FROM rd LEFT JOIN ch ON ch.source = rd.source"""
+)
+_PALE = "(CASE WHEN x <= 0.03928 THEN x / 12.92 ELSE pow((x + 0.055) / 1.055, 2.4) END)"
+_LUM = "list_dot_product(list_transform([2, 4, 6], lambda i: list_transform([CAST('0x' || {0}[i:i + 1] AS INTEGER) / 255.0], lambda x: " + _PALE + ")[1]), [0.2126, 0.7152, 0.0722])"
+
+
+def _contrast() -> str:
+    """The pairs of each palette with their colours as rows."""
+    from inkmesh.functions.color import NODE_PAIRS, PALETTES, TEXT_PAIRS
+
+    rows = [
+        f"('{theme}', '{kind}', '{a}', '{b}', '{c[a]}', '{c[b]}')"
+        for theme, c in PALETTES.items()
+        for kind, pairs in (("check", TEXT_PAIRS), ("conflict", NODE_PAIRS))
+        for a, b in pairs
+    ]
+    return f"""WITH c AS (SELECT * FROM (VALUES {", ".join(rows)}) t(theme, kind, "first", "second", x, y)),
+l AS (SELECT *, {_LUM.format("x")} AS lx, {_LUM.format("y")} AS ly FROM c),
+r AS (SELECT *, round((greatest(lx, ly) + 0.05) / (least(lx, ly) + 0.05), 2) AS ratio FROM l)
+SELECT theme, kind, "first", "second", ratio, ratio >= 2 AS ok FROM r"""
+
+
+SQL["contrast_report"] = _contrast()
+_TWO_HOPS = """, an AS (SELECT path, row_number() OVER (ORDER BY degree DESC, path) AS r FROM (SELECT * FROM dg ORDER BY degree DESC, path LIMIT {n})),
+h1 AS (SELECT x AS path, min(struct_pack(r := r, how := how)) AS b FROM (SELECT dst AS x, r, 'outgoing' AS how FROM e JOIN an ON src = path {back}) WHERE x NOT IN (SELECT path FROM an) GROUP BY x)"""
+SQL["neighbors_d2"] = (
+    RESOLVE
+    + _TWO_HOPS.format(n=3, back="")
+    + """SELECT path, 0 AS hop, 'anchor' AS relation FROM an UNION ALL SELECT path, 1, b.how FROM h1
+UNION ALL SELECT DISTINCT dst, 2, 'outgoing' FROM e JOIN h1 ON e.src = h1.path WHERE dst NOT IN (SELECT path FROM an) AND dst NOT IN (SELECT path FROM h1)"""
+)
+SQL["expand"] = (
+    RESOLVE
+    + _TWO_HOPS.format(n=5, back="UNION ALL SELECT src, r, 'backlink' FROM e JOIN (SELECT path, row_number() OVER (ORDER BY path) AS r FROM an) ON dst = path").replace(
+        "SELECT path, row_number() OVER (ORDER BY degree DESC, path) AS r FROM", "SELECT path, degree, row_number() OVER (ORDER BY path) AS r FROM"
+    )
+    + """, ox AS (SELECT path, 0 AS hop, 'anchor' AS relation, 'input' AS source, degree / 100.0 AS anchor_score FROM an
+UNION ALL SELECT path, 1, b.how, 'graph', NULL FROM h1)
+SELECT path, hop, relation, source, CAST(anchor_score AS DOUBLE) AS anchor_score FROM ox ORDER BY hop, coalesce(anchor_score, 0) DESC, path LIMIT 50"""
+)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,14 +72,12 @@ def skew_join(
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever they run."""
-    sc = spark.sparkContext
-    if getattr(sc, "_inkmesh_shipped", False):
-        return
-    root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="inkmesh-code-")) / "inkmesh-code.zip"  # on the driver, which serves it
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent).as_posix())
-    sc.addPyFile(str(archive))
-    sc._inkmesh_shipped = True
+    """Let Python workers import this package whatever their working directory.
+
+    The folder it lies in is put on their path: enough on one machine and where the package is
+    installed or shared. Other clusters get it with spark-submit's --py-files.
+    """
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
