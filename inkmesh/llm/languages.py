@@ -49,7 +49,7 @@ ADVERT = re.compile(
     r"www\.|https?:|\.example\b|\.com\b"
     r"|\b(?:subtitles|synced|corrected|subtítulos|subtitulado|untertitel|sous-titres|sottotitoli|ondertiteld|ondertiteling|ondertitels"
     r"|vertaald|legendas|undertexter|undertextning|titulky|субтитры|перевод)\b.{0,40}?(?:Text|Subs|Team|24)\b"
-    r"|\w(?-i:Text|Subs|24)\s*$|\w (?-i:Team)\s*$",
+    r"|\w(?-i:Text|Subs|24)\b|\w (?-i:Team)\b",
     re.IGNORECASE | re.DOTALL,
 )
 LANGUAGES = sorted(NAMES)

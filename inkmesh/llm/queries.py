@@ -143,6 +143,39 @@ SELECT a AS set_a, b AS set_b FROM p JOIN n na ON na.set_id = a JOIN n nb ON nb.
 WHERE i / (na.n + nb.n - i) >= 0.5
 """
 
+_SHARED = """
+WITH d AS (SELECT note_id, any_value(content) AS t FROM notes WHERE content IS NOT NULL GROUP BY note_id),
+g AS (SELECT note_id, i, substring(t, CAST(i AS INTEGER), 150) AS g FROM (SELECT note_id, t, unnest(range(1, length(t) - 148)) AS i FROM d WHERE length(t) >= 150)),
+k AS (SELECT g FROM g GROUP BY g HAVING count(DISTINCT note_id) > 1),
+s AS (SELECT note_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY note_id ORDER BY i) <= 150 THEN 0 ELSE 1 END AS n FROM g WHERE g IN (SELECT g FROM k)),
+u AS (SELECT note_id, i, sum(n) OVER (PARTITION BY note_id ORDER BY i) AS p FROM s),
+p AS (SELECT note_id, p, max(i) + 150 - min(i) AS l FROM u GROUP BY 1, 2),
+x AS (SELECT note_id, count(*) AS n_passages, CAST(sum(l) AS BIGINT) AS shared_chars FROM p GROUP BY 1)
+SELECT d.note_id, coalesce(n_passages, 0) AS n_passages, coalesce(shared_chars, 0) AS shared_chars, CAST(length(t) AS INTEGER) AS chars,
+CASE WHEN length(t) > 0 THEN coalesce(shared_chars, 0) / length(t) ELSE 0.0 END AS shared_part FROM d LEFT JOIN x ON x.note_id = d.note_id
+"""
+_CLASSES = """, c AS (SELECT {id} AS id, min({id}) OVER (PARTITION BY f) AS rep FROM (SELECT {id}, list_sort(list({value})) AS f FROM {sets} GROUP BY {id})),
+n AS (SELECT {id}, count(*) AS n FROM {sets} GROUP BY {id}),
+r AS (SELECT x.* FROM {sets} x JOIN (SELECT DISTINCT rep FROM c) ON rep = x.{id}),
+i AS (SELECT x.{id} AS a, y.{id} AS b, count(*) AS i FROM r x JOIN r y ON x.{value} = y.{value} AND x.{id} < y.{id} GROUP BY 1, 2),
+p AS (SELECT a, b, i / (na.n + nb.n - i) AS score FROM i JOIN n na ON na.{id} = a JOIN n nb ON nb.{id} = b WHERE i / (na.n + nb.n - i) >= {tau}),
+e AS (SELECT a, b, score FROM p UNION ALL SELECT b, a, score FROM p),
+m AS (SELECT rep, count(*) AS copies FROM c GROUP BY rep), l AS (SELECT a AS rep, count(*) AS linked, max(score) AS best FROM e GROUP BY a)
+"""
+_GROUPS = (
+    """WITH RECURSIVE d AS (SELECT note_id, regexp_extract_all(lower(any_value(content)), '[\\p{L}\\p{N}]+') AS w FROM notes WHERE content IS NOT NULL GROUP BY note_id),
+s AS (SELECT DISTINCT note_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT note_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3))"""
+    + _CLASSES.format(id="note_id", value="s", sets="s", tau=0.7)
+    + """, t AS (SELECT rep AS x, rep AS y FROM m UNION SELECT t.x, e.b FROM t JOIN e ON e.a = t.y)
+SELECT c.id AS note_id, c.rep AS class_id, gr.g AS group_id, copies, coalesce(linked, 0) AS linked
+FROM c JOIN m ON m.rep = c.rep JOIN (SELECT x, min(y) AS g FROM t GROUP BY x) gr ON gr.x = c.rep LEFT JOIN l ON l.rep = c.rep"""
+)
+_LINKED = (
+    "WITH s AS (SELECT DISTINCT set_id, x FROM (SELECT set_id, unnest(neighbors) AS x FROM neighborhoods) WHERE x IS NOT NULL)"
+    + _CLASSES.format(id="set_id", value="x", sets="s", tau=0.5)
+    + """SELECT c.id AS set_id, c.rep AS class_id, copies, coalesce(linked, 0) AS linked_classes, CASE WHEN copies > 1 THEN 1.0 ELSE best END AS best_score
+FROM c JOIN m ON m.rep = c.rep LEFT JOIN l ON l.rep = c.rep"""
+)
 _LEAKS = r"""
 WITH s AS (SELECT doc_id, regexp_replace(array_to_string(list_filter(string_split(replace(text, chr(13), ''), chr(10)),
     lambda x: NOT contains(x, '-->') AND regexp_matches(x, '\p{L}')), chr(10)),
@@ -156,6 +189,9 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN bg ON dg.g = bg.g
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "p1_shared_part": _SHARED,
+    "p4_groups": _GROUPS,
+    "p5_links": _LINKED,
     "p7_found": _LEAKS,
     "p1_found": _GRAMS,
     "p2_found": _COPIES + "SELECT first_id, row_id FROM r JOIN k ON r.d = k.d AND r.p = k.p AND r.c IS NOT DISTINCT FROM k.c WHERE row_id <> first_id",
