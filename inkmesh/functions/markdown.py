@@ -69,7 +69,7 @@ def slug(heading: Column) -> Column:
 
 def has_fragment(text: Column, fragment: Column) -> Column:
     """Whether a text holds a heading or a ^block with this name."""
-    heads = F.regexp_extract_all(newlines(text), F.lit(r"(?md)^#{1,6}[ \t]+([^\n]+)$"), F.lit(1))
+    heads = F.regexp_extract_all(newlines(text), F.lit(r"(?md)^#+[ \t]+([^\n]+)$"), F.lit(1))
     block = F.regexp_extract_all(text, F.lit(r"(?U)\^([\w-]+)"), F.lit(1))
     return F.when(fragment.startswith("^"), F.array_contains(block, F.substring(fragment, F.lit(2), F.length(fragment)))).otherwise(
         F.exists(heads, lambda h: slug(h) == slug(fragment))

@@ -292,3 +292,64 @@ SQL["expand"] = (
 UNION ALL SELECT path, 1, b.how, 'graph', NULL FROM h1)
 SELECT path, hop, relation, source, CAST(anchor_score AS DOUBLE) AS anchor_score FROM ox ORDER BY hop, coalesce(anchor_score, 0) DESC, path LIMIT 50"""
 )
+
+_HEAD = "text[5:3 + strpos(text[5:], chr(10) || '---' || chr(10))]"
+_HAS_HEAD = "starts_with(text, '---' || chr(10)) AND strpos(text[5:], chr(10) || '---' || chr(10)) > 0"
+_RAW = r"""
+WITH ln AS (SELECT DISTINCT note_id, path, content, created_at FROM notes WHERE deleted_at IS NULL AND path IS NOT NULL),
+v AS (SELECT path, content AS text FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY created_at DESC, note_id DESC) AS r FROM ln) WHERE r = 1 AND content IS NOT NULL)
+"""
+SQL["frontmatter_tags"] = (
+    _RAW
+    + f""", y AS (SELECT path, {_HEAD} AS m FROM v WHERE {_HAS_HEAD})
+SELECT path, trim(unnest(string_split(regexp_extract(m, '(?m)^tags: \\[([^\\]]*)\\]$', 1), ','))) AS tag FROM y WHERE regexp_matches(m, '(?m)^tags: \\[[^\\]]*\\]$')"""
+)
+SQL["note_aliases"] = SQL["frontmatter_tags"].replace("tags:", "aliases:").replace("AS tag", "AS alias")
+SQL["titles"] = (
+    _RAW
+    + f"""SELECT path, trim(list_filter(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))[1:60], lambda x: starts_with(x, '# '))[1][3:], {_WS}) AS title FROM v"""
+)
+_TWINS = (
+    LIVING
+    + f""", g AS (SELECT path, sha256(trim({_CLEAN_LINES.format("body")}, {_BLANK})) AS h FROM b),
+tw AS (SELECT path AS source, t AS target FROM (SELECT path, min(path) OVER (PARTITION BY h) AS t FROM g) WHERE path <> t),
+raw AS (SELECT path, content AS text FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY created_at DESC, note_id DESC) AS r FROM ln) WHERE r = 1 AND content IS NOT NULL)
+"""
+)
+SQL["redirect_stubs"] = (
+    _TWINS
+    + f"""SELECT path, CASE WHEN {_HAS_HEAD} THEN '---' || chr(10) || {_HEAD} || chr(10) || '---' || chr(10) || chr(10) ELSE '' END || '> Moved to [[' || regexp_replace(target, '\\.md$', '') || ']].' || chr(10) AS new_text
+FROM tw JOIN raw ON path = source"""
+)
+SQL["merge_drafts"] = (
+    _TWINS
+    + """, dd AS (SELECT regexp_replace(string_split(target, '/')[-1], '(.)\\.[^.]+$', '\\1') || '.merge-draft.md' AS path, source,
+  b.text || chr(10) || chr(10) || '<!-- merged from ' || source || ' -->' || chr(10) || chr(10) || a.text AS text FROM tw JOIN raw a ON a.path = source JOIN raw b ON b.path = target)
+SELECT path, arg_max(text, source) AS text FROM dd GROUP BY path"""
+)
+_SLUG = "replace(lower(trim(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s-]', '', 'g'), " + _WS + ")), ' ', '-')"
+FRAGMENTS = (
+    SCAN
+    + f""", fb AS (SELECT src, trim(string_split(unnest(regexp_extract_all(t, '\\[\\[([^\\]\\n]+)\\]\\]', 1)), '|')[1], {_WS}) AS full_raw FROM cl),
+fd AS (SELECT src, full_raw, trim(string_split(full_raw, '#')[1], {_WS}) AS raw, nullif(CASE WHEN contains(full_raw, '#') THEN full_raw[strpos(full_raw, '#') + 1:] END, '') AS fragment FROM fb),
+fz AS (SELECT DISTINCT src, raw FROM fd),
+{_resolved("fz", "kf", "xf")},
+fr AS (SELECT fd.*, xf.target, coalesce(st.n, 0) > 1 AND NOT contains(fd.raw, '/') AS twice FROM fd JOIN xf ON xf.src = fd.src AND xf.raw = fd.raw
+  LEFT JOIN st ON st.stem = regexp_replace(string_split(fd.raw, '/')[-1], '(.)\\.[^.]+$', '\\1')),
+ft AS (SELECT path, list_transform(regexp_extract_all(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^#+[ \\t]+([^\\n]+)$', 1), lambda h: {_SLUG.format("h")}) AS hs,
+  regexp_extract_all(text, '\\^([\\p{{L}}\\p{{N}}_-]+)', 1) AS bs FROM v)
+"""
+)
+SQL["fragments"] = (
+    FRAGMENTS
+    + f"""SELECT CASE WHEN twice THEN 'ambiguous' END AS status, CASE WHEN twice THEN false WHEN starts_with(fragment, '^') THEN list_contains(bs, fragment[2:]) ELSE list_contains(hs, {_SLUG.format("fragment")}) END AS ok, count(*) AS n
+FROM fr LEFT JOIN ft ON ft.path = target WHERE twice OR (target IS NOT NULL AND fragment IS NOT NULL) GROUP BY 1, 2"""
+)
+SQL["preflight"] = (
+    FRAGMENTS
+    + """, mv AS (SELECT regexp_replace(path, '\\.md$', '') AS old FROM v), nx AS (SELECT old AS name FROM mv UNION SELECT regexp_replace(string_split(old, '/')[-1], '(.)\\.[^.]+$', '\\1') FROM mv),
+hit AS (SELECT CASE WHEN twice THEN 'ambiguous' ELSE 'missing' END AS status FROM fr WHERE (twice OR target IS NULL)
+  AND (string_split(full_raw, '#')[1] IN (SELECT name FROM nx) OR regexp_replace(string_split(string_split(full_raw, '#')[1], '/')[-1], '(.)\\.[^.]+$', '\\1') IN (SELECT name FROM nx))),
+mu AS (SELECT trim(string_split(unnest(regexp_extract_all(t, '(^|[^!])\\[([^\\]\\n]+)\\]\\(([^)\\n]+)\\)', 3)), '#')[1], ' ') AS raw FROM cl)
+SELECT status, count(*) AS n FROM (SELECT status FROM hit UNION ALL SELECT 'unsafe' FROM mu WHERE regexp_matches(raw, '(^|/)\\.\\.(/|$)') AND regexp_replace(raw, '\\.md$', '') IN (SELECT old FROM mv)) GROUP BY 1"""
+)

@@ -312,6 +312,47 @@ def migrate_links(spark, sf_dir):
     return rewrite.migrate_links(v.notes, _moves(v)).select("path", F.sha2("new_text", 256).alias("sha256"))
 
 
+@query
+def frontmatter_tags(spark, sf_dir):
+    return groups.frontmatter(_living(spark, sf_dir)).select("path", F.explode("tags").alias("tag"))
+
+
+@query
+def note_aliases(spark, sf_dir):
+    return rewrite.aliases(_living(spark, sf_dir))
+
+
+@query
+def titles(spark, sf_dir):
+    return _living(spark, sf_dir).where("text is not null").select("path", rewrite.title(F.col("text")).alias("title"))
+
+
+def _twins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Notes and a plan: of notes with the same normal content, all point to the first."""
+    notes = _living(spark, sf_dir)
+    same = dupes.exact_members(notes)
+    first = same.groupBy("sha256").agg(F.min("path").alias("target"))
+    return notes, same.join(first, "sha256").where("path <> target").select(F.col("path").alias("source"), "target")
+
+
+@query
+def redirect_stubs(spark, sf_dir):
+    notes, moves = _twins(spark, sf_dir)
+    return rewrite.redirect_stubs(moves, notes).select("path", "new_text")
+
+
+@query
+def merge_drafts(spark, sf_dir):
+    notes, moves = _twins(spark, sf_dir)
+    return rewrite.merge_drafts(moves, notes)
+
+
+@query
+def alias_collisions(spark, sf_dir):
+    notes, moves = _twins(spark, sf_dir)
+    return rewrite.alias_collisions(moves, notes)
+
+
 @query
 def fix_pipes(spark, sf_dir):
     return rewrite.fix_pipes(_living(spark, sf_dir)).select("path", "changes")

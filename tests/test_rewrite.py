@@ -260,3 +260,16 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("links_by_day").count() == 6
+
+
+def test_data_source(spark, repo):
+    from inkmesh.sources import datasource
+
+    datasource.register(spark)
+    df = spark.read.format("vault").load(str(repo))
+    assert {r["path"]: r["text"] for r in df.select("path", "text").collect()} == texts(repo)
+    near = df.where("path like 'a/%'").select("path")
+    assert [r["path"] for r in near.collect()] == ["a/old.md"]
+    (repo / "new.md").write_bytes(b"x\xff")
+    disk = spark.read.format("vault").option("files", "disk").option("prefix", "new").load(str(repo))
+    assert [tuple(r) for r in disk.collect()] == [("new.md", "x", bytearray(b"x\xff"))]
