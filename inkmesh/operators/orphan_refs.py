@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.functions.paths import basename, join_path, normpath, parent
+from inkmesh.functions.paths import basename, beside, normpath, parent
 from inkmesh.functions.text import micros, percent_decode, strip_ws
 
 #: Buckets of 2**43 microseconds, about 102 days.
@@ -26,12 +26,14 @@ SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 def link_target(kind: Column, raw: Column) -> Column:
     """The path a raw link target names; null when it is no reference."""
     t = strip_ws(raw)
-    wiki = F.regexp_replace(t, r"(?s)\\?\|.*$", "")
-    plain = F.regexp_replace(t, r"""(?U)\s+("[^"]*"|'[^']*')\s*$""", "")
-    plain = percent_decode(F.regexp_replace(strip_ws(plain), r"(?s)^<(.*)>$", "$1"))
+    wiki = F.when(F.contains(t, F.lit("|")), F.regexp_replace(t, r"(?s)\\?\|.*$", "")).otherwise(t)
+    quoted = t.endswith('"') | t.endswith("'")
+    plain = F.when(quoted, strip_ws(F.regexp_replace(t, r"""(?U)\s+("[^"]*"|'[^']*')$""", ""))).otherwise(t)
+    enclosed = plain.startswith("<") & plain.endswith(">")
+    plain = percent_decode(F.when(enclosed, F.substring(plain, F.lit(2), F.length(plain) - 2)).otherwise(plain))
     t = F.when(kind == "wikilink", wiki).when(kind == "markdown", plain).otherwise(t)
-    t = strip_ws(F.regexp_replace(strip_ws(F.regexp_replace(t, r"(?s)#.*$", "")), "^!+", ""))
-    return F.when((t != "") & ~t.rlike(SCHEME), t)
+    t = strip_ws(F.ltrim(strip_ws(F.substring_index(t, "#", 1)), F.lit("!")))
+    return F.when((t != "") & ~(F.contains(t, F.lit(":")) & t.rlike(SCHEME)), t)
 
 
 def parent_keys(parents: DataFrame) -> DataFrame:
@@ -114,31 +116,30 @@ def lifetimes(notes: DataFrame, files: DataFrame) -> DataFrame:
 
 def link_refs(links: DataFrame) -> DataFrame:
     """References of links: slot 0 the raw target with its alternatives, slot i a candidate."""
-    t, src = link_target(F.col("kind"), F.col("raw")), F.col("src")
-    rel = F.regexp_replace(F.col("t"), "^/+", "")
+    t, src = F.col("t"), F.col("src")
 
     def key(kind: int, x: Column) -> Column:
         return F.struct(F.lit(0).alias("slot"), F.lit(kind).alias("kind"), x.alias("key"))
 
-    root, beside = normpath(rel), join_path(parent(src), rel)
     own = F.array_compact(
         F.array(
-            F.when(F.col("t").isNotNull(), key(PATH, root)),
-            F.when(F.col("t").isNotNull() & src.isNotNull() & (beside != root), key(PATH, beside)),
-            F.when((F.col("kind") == "wikilink") & ~F.contains(F.col("t"), F.lit("/")), key(NAME, F.col("t"))),
+            F.when(t.isNotNull(), key(PATH, F.col("root"))),
+            F.when(F.col("near") != F.col("root"), key(PATH, F.col("near"))),
+            F.when((F.col("kind") == "wikilink") & ~F.contains(t, F.lit("/")), key(NAME, t)),
         )
     )
     cands = F.transform(
-        F.coalesce("candidates", F.array().cast("array<string>")),
-        lambda x, i: F.when(x.isNotNull(), F.struct((i + 1).alias("slot"), F.lit(EXACT).alias("kind"), x.alias("key"))),
+        "candidates", lambda x, i: F.when(x.isNotNull(), F.struct((i + 1).alias("slot"), F.lit(EXACT).alias("kind"), x.alias("key")))
     )
-    return (
-        links.select("link_id", "src", "kind", "raw", "candidates", micros(F.col("seen_at")).alias("at"))
-        .where("at is not null")
-        .withColumn("t", t)
-        .withColumn("k", F.explode(F.concat(own, F.array_compact(cands))))
-        .select("link_id", "at", "k.slot", "k.kind", "k.key")
+    every = F.when(F.col("candidates").isNull(), own).otherwise(F.concat(own, F.array_compact(cands)))
+    # One step for each column that the next uses more than once: none is computed twice.
+    rows = links.where("seen_at is not null").select(
+        "link_id", "src", "kind", "candidates", micros(F.col("seen_at")).alias("at"), link_target(F.col("kind"), F.col("raw")).alias("t")
     )
+    rows = rows.withColumn("rel", F.ltrim(t, F.lit("/")))
+    rows = rows.withColumn("near", F.when(src.isNotNull(), beside(parent(src), F.col("rel"))))
+    rows = rows.withColumn("root", normpath(F.col("rel"))).withColumn("near", normpath(F.col("near")))
+    return rows.select("link_id", "at", F.explode(every).alias("k")).select("link_id", "at", "k.slot", "k.kind", "k.key")
 
 
 def dangling_links(links: DataFrame, notes: DataFrame, files: DataFrame) -> DataFrame:
