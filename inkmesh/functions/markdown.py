@@ -44,13 +44,12 @@ def wiki_bodies(text: Column, pattern: str = WIKI_LINK) -> Column:
 
 def graph_target(body: Column) -> Column:
     """Target of a wikilink for the graph: before any pipe, no embed mark, no fragment."""
-    t = F.regexp_replace(strip_ws(F.substring_index(body, "|", 1)), "^!+", "")
-    return F.substring_index(t, "#", 1)
+    return F.substring_index(F.ltrim(strip_ws(F.substring_index(body, "|", 1)), F.lit("!")), "#", 1)
 
 
 def scan_target(body: Column) -> Column:
     """Target of a wikilink for the scan: before the first unescaped pipe, escapes undone."""
-    t = F.regexp_replace(strip_ws(F.element_at(F.split(body, r"(?<!\\)\|", 2), 1)), "^!+", "")
+    t = F.ltrim(strip_ws(F.element_at(F.split(body, r"(?<!\\)\|", 2), 1)), F.lit("!"))
     return F.replace(t, F.lit("\\|"), F.lit("|"))
 
 

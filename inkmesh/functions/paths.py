@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def parent(p: Column) -> Column:
     """Folder of a path, '' at the root."""
-    return F.regexp_replace(p, r"/?[^/]*$", "")
+    return F.left(p, F.greatest(F.length(p) - F.length(basename(p)) - 1, F.lit(0)))
 
 
 def basename(p: Column) -> Column:
@@ -37,7 +37,12 @@ def normpath(p: Column) -> Column:
 
     folded = F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step), "/")
     slow = F.when(folded == "", F.lit(".")).otherwise(folded)
-    return F.when(p.rlike(r"(^|/)\.{0,2}(/|$)"), slow).otherwise(p)
+    odd = p.isin("", ".", "..") | p.startswith("/")
+    for part in ("//", "./"):
+        odd = odd | F.contains(p, F.lit(part))
+    for end in ("/", "/.", "/.."):
+        odd = odd | p.endswith(end)
+    return F.when(odd, slow).otherwise(p)
 
 
 def beside(folder: Column, p: Column) -> Column:

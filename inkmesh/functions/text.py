@@ -11,9 +11,13 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 FM_OPEN, FM_CLOSE = "---\n", "\n---\n"
 
 
+# Fixed value: what Python's str.strip takes off.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_ws(c: Column) -> Column:
     """Unicode white space off both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def newlines(c: Column) -> Column:

@@ -110,7 +110,7 @@ def _link_class(src: Column, kind: Column, t: Column) -> Column:
 
 def _existing(tokens: DataFrame, vault: Vault) -> DataFrame:
     """Distinct (src, kind, target) of path-like targets that exist."""
-    t, folder = F.regexp_replace(F.col("target"), "^/+", ""), parent(F.col("src"))
+    t, folder = F.ltrim(F.col("target"), F.lit("/")), parent(F.col("src"))
     tried = F.array_compact(F.array(F.when(~t.rlike(r"^\.\.?/"), t), beside(folder, t)))
     ends = lambda p: F.array(F.lit(""), *(F.when(~p.endswith(".md"), F.lit(x)) for x in (".md", "/README.md", "/index.md")))
     more = lambda p: F.transform(F.array_compact(ends(p)), lambda x: _path(F.concat(p, x)))
