@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmesh.functions.paths import top_dir
-from inkmesh.session import cut
+from inkmesh.session import cut, cut_round
 
 DIRECTIONS = ("both", "outgoing", "incoming")
 
@@ -111,10 +111,10 @@ def neighbors(
         )
         # Ranks only order the frontier; a range partitioned sort gives them without one task for all.
         first = _ranked(reached.select("nbr", F.col("first.rank").alias("parent"), F.col("first.relation").alias("relation")), ["parent", "nbr", "relation"])
-        front = cut(first.select(F.col("nbr").alias("path"), F.lit(hop).alias("hop"), "relation", "rank"))
+        front = cut_round(first.select(F.col("nbr").alias("path"), F.lit(hop).alias("hop"), "relation", "rank"))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
+        seen = cut_round(seen.unionByName(front))
     out = seen.select("path", "hop", "relation").orderBy("hop", "path")
     return out.limit(limit) if limit is not None else out
 
@@ -224,9 +224,9 @@ def communities(vertices: DataFrame, edges: DataFrame, rounds: int = 20) -> Data
     frequent label around it, keeps its own where that is among them, else the largest. Stops
     when a round changes nothing or after ``rounds``. A community is named by its smallest path.
     """
-    nbrs = cut(neighbour_pairs(edges))
+    nbrs = cut_round(neighbour_pairs(edges))
     label = F.xxhash64("path")
-    labels = cut(vertices.select("path", label.alias("label"), F.pmod(label, F.lit(COLOURS)).alias("colour")))
+    labels = cut_round(vertices.select("path", label.alias("label"), F.pmod(label, F.lit(COLOURS)).alias("colour")))
     for _ in range(rounds):
         moved = 0
         for colour in range(COLOURS):
@@ -234,9 +234,9 @@ def communities(vertices: DataFrame, edges: DataFrame, rounds: int = 20) -> Data
             around = nbrs.join(labels.select(F.col("path").alias("nbr"), "label"), "nbr").join(own, "path")
             ranked = around.groupBy("path", "own", "label").agg(F.count(F.lit(1)).alias("n"))
             best = ranked.groupBy("path", "own").agg(F.max(F.struct("n", (F.col("label") == F.col("own")).alias("kept"), "label")).alias("b"))
-            news = cut(best.where("b.label <> own").select("path", F.col("b.label").alias("new")))
-            moved += news.count()
-            labels = cut(labels.join(news, "path", "left").select("path", F.coalesce("new", "label").alias("label"), "colour"))
+            news = best.where("b.label <> own").select("path", F.col("b.label").alias("new"))
+            labels = cut_round(labels.join(news, "path", "left").select("path", F.coalesce("new", "label").alias("label"), "colour", F.col("new").isNotNull().alias("moved")))
+            moved += labels.where("moved").count()
         if not moved:
             break
     names = labels.groupBy("label").agg(F.min("path").alias("community"))

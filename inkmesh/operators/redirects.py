@@ -9,7 +9,7 @@ from inkmesh.functions import markdown as md
 from inkmesh.functions.paths import stem
 from inkmesh.functions.text import newlines, strip_ws
 from inkmesh.operators.links import resolve, status
-from inkmesh.session import cut
+from inkmesh.session import cut, cut_round
 from inkmesh.sources.vault import Vault
 
 # Fixed value: the line that makes a note a redirect.
@@ -66,7 +66,7 @@ def verify_redirects(vault: Vault) -> DataFrame:
     total, steps = rows.count(), 1
     while steps <= total:
         on = jump.select(F.col("source").alias("at"), F.col("at").alias("next"))
-        jump = cut(jump.join(on, "at", "left").select("source", F.coalesce("next", "at").alias("at")))
+        jump = cut_round(jump.join(on, "at", "left").select("source", F.coalesce("next", "at").alias("at")))
         steps *= 2
     ends = jump.join(hops.select(F.col("source").alias("at"), F.lit(True).alias("moves")), "at", "left")
     out = rows.join(ends.select("source", "at", "moves"), "source")

@@ -240,7 +240,7 @@ def structural_pairs(spark, sf_dir):
 @query
 def communities(spark, sf_dir):
     _, v, e = _graph(spark, sf_dir)
-    return graph.communities(v, e)
+    return graph.communities(v, e, rounds=5)
 
 
 def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[vaults.Vault, DataFrame]:

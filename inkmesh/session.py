@@ -45,6 +45,17 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """``cut`` for a loop's state: the estimated size is forgotten too.
+
+    A checkpoint keeps its plan's estimate, and joins multiply estimates, so that the number
+    itself would grow exponentially with the rounds.
+    """
+    spark = df.sparkSession
+    kept = cut(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
