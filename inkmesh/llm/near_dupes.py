@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmesh.llm.common import expand, hamming, max_difference, meet, parity_sketch
-from inkmesh.session import cut, skew_join
+from inkmesh.session import cut, cut_round, skew_join
 
 HOT, SLACK, WORDS = 64, 1.5, 8
 _SK = [f"s{w}" for w in range(WORDS)]
@@ -196,7 +196,7 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         moved = label.join(near, label["rep"] == near["a"], "left").select("rep", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = moved.select(F.col("rep").alias("_r"), F.col("label").alias("_l"))
         moved = moved.join(jump, moved["label"] == F.col("_r"), "left").select("rep", "old", F.least("label", "_l").alias("label"))
-        moved = cut(moved)
+        moved = cut_round(moved)
         if moved.where("label <> old").isEmpty():
             return moved.select("rep", "label")
         label = moved.select("rep", "label")
