@@ -1,10 +1,10 @@
 """Evaluation texts leaking into training text (problem 7).
 
-Rare n-gram seeds join corpus passages to test items, Smith-Waterman alignment scores what
-meets. One pass over the corpus keeps the passages around places where SEED consecutive words
-are consecutive in some item; over all documents each seed's document frequency is counted, and
-seeds in more than RARE_DF documents are dropped, except runs of RUN words, which always count:
-so the exact cases never depend on rarity. Each (passage, item) is then aligned word by word.
+N-gram seeds join corpus passages to test items, Smith-Waterman alignment scores what meets. One
+pass over the corpus keeps the passages around places where SEED consecutive words are
+consecutive in some item; an item with fewer words is one seed as a whole. No seed is dropped,
+however many documents hold it (those that very many hold are salted in the join), so that
+copies of a file do not hide its leaks. Each (passage, item) is then aligned word by word.
 
 The items are read in blocks of BLOCK_CHARS characters, each a pass over the corpus of its own;
 only a block is ever held by a task.
@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmesh.llm.subtitles import spoken, words
-from inkmesh.session import cut
+from inkmesh.session import cut, skew_join
 
-SEED, RUN, RARE_DF, BLOCK_CHARS = 5, 12, 1000, 8_000_000
+SEED, RUN, BLOCK_CHARS = 5, 12, 8_000_000
+#: No cut by document frequency.
+RARE_DF = None
 MATCH, MISMATCH, GAP = 2, -1, -1
 _BASE = 0x9E3779B97F4A7C15
 
@@ -47,8 +49,10 @@ class Items:
     def index(self) -> list[tuple[int, int]]:
         """(gram, item_id) postings; sorts the hashes of seeds and runs for lookup."""
         posts: dict[int, set[int]] = defaultdict(set)
+        short = {len(t) for t in self.texts if 0 < len(t) < self.seed}
+        self.widths = sorted({self.seed, self.run, *short})
         for item, t in zip(self.ids, self.texts, strict=True):
-            for n in (self.seed, self.run):
+            for n in (self.seed, self.run) if len(t) >= self.seed else (len(t),):
                 for g in grams(t, n)[0].view(np.int64).tolist():
                     posts[g].add(item)
         self.known = np.sort(np.array(list(posts), dtype=np.int64))
@@ -85,7 +89,7 @@ def passages(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Rec
             bounds.append(len(ids))
         ids, bounds = np.array(ids, dtype=np.int64), np.array(bounds)
         found, places = [], []
-        for n in (items.seed, items.run):
+        for n in items.widths:
             h, at = grams(ids, n)
             h = h.view(np.int64)
             k = np.minimum(np.searchsorted(items.known, h), len(items.known) - 1)
@@ -155,12 +159,13 @@ def _blocks(benchmark: DataFrame, seed: int, run: int) -> Iterator[Items]:
         yield block
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, seed: int = SEED, run: int = RUN, rare_df: int = RARE_DF) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, seed: int = SEED, run: int = RUN, rare_df: int | None = RARE_DF) -> DataFrame:
     """(doc_id, item_id, longest_run, score, share, ends_at): the best alignment per document and item.
 
     ``share`` is the score as a part of a perfect one; ``ends_at`` the spoken word after the
     best alignment. Null ids or texts are left out, texts without words have no rows, repeated
-    rows count once, empty tables give no rows, other columns are ignored.
+    rows count once, empty tables give no rows, other columns are ignored. With ``rare_df`` only
+    runs of ``run`` words and seeds in at most so many documents count.
     """
     spark, parts = documents.sparkSession, []
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
@@ -174,8 +179,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame, seed: int = SEED, run: int
         df = each.select("doc_id", "gram").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
         runs = {g for t in items.texts for g in grams(t, run)[0].view(np.int64).tolist()}
         post = spark.createDataFrame([(g, i, g in runs) for g, i in posts], "gram bigint, item_id bigint, whole boolean")
-        rare = df.join(post, "gram").where(F.col("whole") | (F.col("df") <= rare_df)).select("gram", "item_id")
-        pairs = each.join(rare, "gram").select("doc_id", "start", "item_id").distinct()
+        kept = df.join(post, "gram")
+        if rare_df is not None:
+            kept = kept.where(F.col("whole") | (F.col("df") <= rare_df))
+        kept = kept.groupBy("gram", "df").agg(F.collect_list("item_id").alias("items"))  # at most a block's items
+        met = skew_join(each, kept, "gram", "df", "doc_id")
+        pairs = met.select("doc_id", "start", F.explode("items").alias("item_id")).distinct()
         rows = pairs.join(found.select("doc_id", "start", "words").dropDuplicates(["doc_id", "start"]), ["doc_id", "start"])
         out = "doc_id bigint, item_id bigint, ends_at int, longest_run int, score int, share double"
         parts.append(rows.select("doc_id", "start", "words", "item_id").mapInArrow(lambda it, x=items: aligned(it, x), out))

@@ -51,6 +51,16 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(documents.limit(0), bench).count() == leakage.leaks(documents, bench.limit(0)).count() == 0
 
 
+def test_leaks_in_frequent_passages(spark):
+    item = [f"w{k}" for k in range(24)]
+    edited = [w if k % 8 else f"x{k}" for k, w in enumerate(item)]  # runs of seven words
+    text = cue(1, " ".join(edited[:12])) + cue(2, " ".join(edited[12:])) + cue(3, "short and sweet")
+    docs = spark.createDataFrame([(d, text) for d in range(1100)] + [(2000, cue(1, "nothing of it"))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "Short and sweet!"), (3, "w1 w2 w3 w4 w5 w6")], "item_id bigint, text string")
+    found = leakage.leaks(docs, bench).select("doc_id", "item_id", "longest_run").collect()
+    assert {tuple(r) for r in found} == {(d, i, n) for d in range(1100) for i, n in ((1, 7), (2, 3), (3, 6))}
+
+
 def test_alignment_scores_edits():
     item = np.arange(1, 31)
     edited = np.r_[item[:10], [99], item[10:18], item[20:]]
