@@ -8,14 +8,17 @@ without it. Cues then take their most probable language, which gives counts of w
 and confidences.
 
 The n-gram model is fitted on a bounded sample: about SAMPLE documents for each language, taken
-by a hash of their id among those whose label names it and whose text has at most
-SAMPLE_CHARS characters. As labels err, the sample's cues are re-labelled by the model itself
+by a hash of their id among those whose label names it and whose text is not empty, and of each
+the SAMPLE_CUES cues of least hash from its whole length (pieces of at most CUE_CHARS characters,
+where a cue is longer). As labels err, the sample's cues are re-labelled by the model itself
 ROUNDS times. All documents are then read whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from inkmesh.llm.subtitles import WORD, cues
 
-ORDER, SAMPLE, SAMPLE_CHARS, ROUNDS = 4, 250, 20_000, 2
+ORDER, SAMPLE, SAMPLE_CUES, CUE_CHARS, ROUNDS = 4, 250, 300, 1000, 2
 PENALTY, SHARE = 8.0, 0.2
 _ALPHABET = 300.0
 _CACHE = 200_000
@@ -184,9 +187,27 @@ class Reader:
         return at, np.add.reduceat(self.table[idx], starts, axis=0), np.array(sizes)
 
 
-def train(labelled: list[tuple[str, str]]) -> Model:
-    """Model from (code, text), re-labelled cue by cue."""
-    texts = [(LANGUAGES.index(code), [WORD.findall(c.lower()) for c in cues(t) if not ADVERT.search(c)]) for code, t in labelled]
+def drawn_cues(text: str, most: int = SAMPLE_CUES) -> list[str]:
+    """At most ``most`` cues of a text, those of least hash, in order; adverts are left out."""
+    pieces = []
+    for c in cues(text):
+        if not ADVERT.search(c):
+            pieces += [c] if len(c) <= CUE_CHARS else re.findall(rf"\S.{{0,{CUE_CHARS - 1}}}(?!\S)|\S{{1,{CUE_CHARS}}}", c, re.DOTALL)
+    if len(pieces) <= most:
+        return pieces
+    least = heapq.nsmallest(most, range(len(pieces)), key=lambda k: (zlib.crc32(pieces[k].encode("utf-8", "surrogatepass"), k), k))
+    return [pieces[k] for k in sorted(least)]
+
+
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = pa.array([drawn_cues(t) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("code"), own], names=["code", "cues"])
+
+
+def train(labelled: list[tuple[str, list[str]]]) -> Model:
+    """Model from (code, cues), re-labelled cue by cue."""
+    texts = [(LANGUAGES.index(code), [WORD.findall(c.lower()) for c in own]) for code, own in labelled]
     counts = [Counter() for _ in LANGUAGES]
     for lang, own in texts:
         for w in own:
@@ -211,17 +232,16 @@ def train(labelled: list[tuple[str, str]]) -> Model:
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Model from a bounded sample of labelled documents; None where no label names a language."""
-    own = documents.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0))
     code = label_code(F.col("lang"))
-    sizes = {r["code"]: r["n"] for r in documents.select(code.alias("code")).where("code is not null").groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
+    own = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).withColumn("code", code).where("code is not null")
+    sizes = {r["code"]: r["n"] for r in own.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     part = F.create_map(*(F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, sample / n))))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    labels = documents.select("doc_id", code.alias("code")).where(F.col("code").isNotNull()).where(draw < F.try_element_at(part, F.col("code")))
-    ids = [r["doc_id"] for r in labels.select("doc_id").limit(2 * sample * len(LANGUAGES)).collect()]
-    rows = own.where(F.col("doc_id").isin(ids)).select(code.alias("code"), "text").limit(2 * sample * len(LANGUAGES)).collect()
-    return train(sorted((r["code"], r["text"]) for r in rows))
+    drawn = own.where(draw < F.try_element_at(part, F.col("code"))).select("code", "text")
+    rows = drawn.mapInArrow(_drawn, "code string, cues array<string>").limit(2 * sample * len(LANGUAGES)).collect()
+    return train(sorted((r["code"], r["cues"]) for r in rows))
 
 
 def _detected(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -116,6 +116,24 @@ def test_languages_of_documents(spark):
     assert {r["lang"] for r in languages.segments(found).where(f"doc_id = {mixed}").collect()} == truth[mixed]
 
 
+def test_languages_of_long_files(spark):
+    docs, truth = corpus()
+    docs = [(d, label, text + "12\r\n" * 6000) for d, label, text in docs]  # every file has over 20,000 characters
+    df = spark.createDataFrame(docs, "doc_id bigint, lang string, text string")
+    got: dict = {}
+    for r in languages.mislabelled(languages.detect(df)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["lang_found"])
+    assert got == truth
+
+
+def test_sample_of_a_text_is_bounded():
+    long = "".join(cue(k, f"cue number {k}") for k in range(2000)) + cue(1, "one cue without end " * 20_000)
+    own = languages.drawn_cues(long)
+    assert len(own) == languages.SAMPLE_CUES and max(map(len, own)) <= languages.CUE_CHARS
+    assert own == languages.drawn_cues(long) and len(set(own)) > 200
+    assert languages.drawn_cues(cue(1, "a b") + cue(2, "c", "d")) == subtitles.cues(cue(1, "a b") + cue(2, "c", "d"))
+
+
 def test_languages_without_labels(spark):
     df = spark.createDataFrame([(1, None, cue(1, "some words"))], "doc_id bigint, lang string, text string")
     assert languages.mislabelled(languages.detect(df)).count() == 0
