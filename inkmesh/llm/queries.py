@@ -27,10 +27,16 @@ def p1_shared_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared passages of each note with its path; equal ``passage`` names the other paths that hold it."""
+    """Shared passages of each note with its path and the class of its text; p1_holders names the classes that hold them."""
     notes = read_table(spark, sf_dir, "notes").select(F.col("note_id").alias("id"), "path").dropDuplicates(["id"])
     spans = shared_spans.shared_passages(_notes(spark, sf_dir)).join(notes, "id")
-    return spans.select(F.col("id").alias("note_id"), "path", "start", "length", "n_records", "passage")
+    return spans.select(F.col("id").alias("note_id"), "path", F.col("rep").alias("class_id"), "start", "length", "n_records", "passage")
+
+
+def p1_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of a class's passages (class_id, start) that other classes hold; the notes and paths of a class are in p1_passages."""
+    _, holders, _ = shared_spans.passage_holders(_notes(spark, sf_dir))
+    return holders.select(F.col("rep").alias("class_id"), "start", F.col("other").alias("other_class"), "held_start", "held_length")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +102,7 @@ QUERIES: dict[str, Query] = {
         p1_found,
         p1_shared_part,
         p1_passages,
+        p1_holders,
         p2_found,
         p2_collapsed,
         p4_found,

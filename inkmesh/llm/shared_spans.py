@@ -175,50 +175,96 @@ def shared_span_pairs(texts: DataFrame, span: int = 150, gram: int = GRAM) -> Da
     return expand(_rep_pairs(cut(form_links(kinds, span, gram)), holders), members)
 
 
-def shared_passages(texts: DataFrame, span: int = 150, gram: int = GRAM) -> DataFrame:
-    """(id, start, length, n_records, passage) of the shared passages of each record.
+def _joined(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Runs (s, e) of each ``by`` with the number of their island; overlapping or touching runs are one."""
+    w = Window.partitionBy(*by).orderBy("s", "e")
+    before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = runs.withColumn("new", (before.isNull() | (before < F.col("s"))).cast("int"))
+    return new.withColumn("island", F.sum("new").over(w)).drop("new")
 
-    Overlapping shared runs are one passage; ``n_records`` counts the records, this one
-    included, that hold the record's whole text or a run through one of the passage's
-    windows at most; ``passage`` is a digest of its characters, equal for equal passages.
-    """
-    reps, members = classes(texts, span)
-    reps = cut(reps)
-    kinds, holders = forms(reps, span, gram)
+
+def _ends(kinds: DataFrame, span: int, gram: int) -> DataFrame:
+    """(form, other, left, right): the links of forms from both of their ends."""
     links = cut(form_links(kinds, span, gram))
     ends = links.select(F.col("fa").alias("form"), F.col("fb").alias("other"), "left", "right")
-    ends = ends.unionByName(links.where("fa <> fb").select(F.col("fb").alias("form"), F.col("fa").alias("other"), "left", "right"))
-    copies = members.distinct().groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
-    held = holders.select("form", "rep").distinct().join(copies, "rep").groupBy("form").agg(F.sum("copies").alias("held"))
+    return ends.unionByName(links.where("fa <> fb").select(F.col("fb").alias("form"), F.col("fa").alias("other"), "left", "right"))
+
+
+def _parts(reps: DataFrame, members: DataFrame, holders: DataFrame, ends: DataFrame, gram: int) -> DataFrame:
+    """(rep, form, pos, s, e, island): the shared runs of each class, by passages.
+
+    Whole texts with copies are a run without form.
+    """
     # The longest reach of a form to each side covers every run through it.
-    reach = ends.join(held.withColumnRenamed("form", "other"), "other").groupBy("form").agg(
-        F.max("left").alias("left"), F.max("right").alias("right"), F.sum("held").alias("held")
-    )
+    reach = ends.groupBy("form").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     part = holders.join(reach, "form").select(
-        "rep", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + gram + F.col("right")).alias("e"), "held"
+        "rep", "form", "pos", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + gram + F.col("right")).alias("e")
     )
-    whole = copies.where("copies > 1").join(reps, "rep").select(
-        "rep", F.lit(0).cast("bigint").alias("s"), F.length("text").cast("bigint").alias("e"), F.col("copies").alias("held")
-    )
-    w = Window.partitionBy("rep").orderBy("s", "e")
-    before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    spans = part.unionByName(whole).withColumn("new", (before.isNull() | (before < F.col("s"))).cast("int"))
-    spans = spans.withColumn("island", F.sum("new").over(w)).groupBy("rep", "island").agg(
-        F.min("s").alias("s"), F.max("e").alias("e"), F.max("held").alias("n_records")
+    none = F.lit(None).cast("bigint")
+    copied = members.distinct().groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    whole = copied.join(reps, "rep").select(
+        "rep", none.alias("form"), none.alias("pos"), F.lit(0).cast("bigint").alias("s"), F.length("text").cast("bigint").alias("e")
     )
+    return _joined(part.unionByName(whole), ["rep"])
+
+
+def _spans(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("rep", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+
+
+def passage_holders(texts: DataFrame, span: int = 150, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(passages, holders, members): shared passages and the other records that hold a part of them.
+
+    passages: (rep, start, length, n_records, passage) of each class of equal texts;
+    overlapping shared runs are one passage, ``n_records`` counts all records, these included,
+    that hold a run of ``span`` characters of it or more; ``passage`` is a digest of its
+    characters. holders: (rep, start, other, held_start, held_length), a row for each stretch
+    of the passage at ``start`` that another class holds in such runs. members: (rep, id).
+    """
+    reps, members = classes(texts, span)
+    reps, members = cut(reps), cut(members.distinct())
+    kinds, forms_of = forms(reps, span, gram)
+    ends = _ends(kinds, span, gram)
+    parts = cut(_parts(reps, members, forms_of, ends, gram))
+    spans = _spans(parts)
+    own = forms_of.select(F.col("form").alias("other"), F.col("rep").alias("holder")).distinct()
+    runs = parts.where("form is not null").select("rep", "island", "form", "pos").join(ends, "form").join(own, "other").where("rep <> holder")
+    runs = runs.select(
+        "rep", F.col("island").alias("passage"), "holder", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + gram + F.col("right")).alias("e")
+    ).distinct()
+    held = cut(_joined(runs, ["rep", "passage", "holder"]).groupBy("rep", "passage", "holder", "island").agg(F.min("s").alias("hs"), F.max("e").alias("he")))
+    copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
+    others = held.select("rep", F.col("passage").alias("island"), "holder").distinct()
+    others = others.join(copies.withColumnRenamed("rep", "holder"), "holder").groupBy("rep", "island").agg(F.sum("copies").alias("others"))
     text = F.substring(F.col("text"), (F.col("s") + 1).cast("int"), (F.col("e") - F.col("s")).cast("int"))
-    own = spans.join(reps, "rep").select("rep", "s", "e", "n_records", F.sha2(text, 256).alias("passage"))
-    return own.join(members.distinct(), "rep").select(
-        "id", F.col("s").alias("start"), (F.col("e") - F.col("s")).alias("length"), "n_records", "passage"
+    passages = spans.join(others, ["rep", "island"], "left").join(copies, "rep").join(reps, "rep").select(
+        "rep",
+        F.col("s").alias("start"),
+        (F.col("e") - F.col("s")).alias("length"),
+        (F.col("copies") + F.coalesce("others", F.lit(0))).alias("n_records"),
+        F.sha2(text, 256).alias("passage"),
+    )
+    holders = held.withColumnRenamed("passage", "island_").join(spans.withColumnRenamed("island", "island_"), ["rep", "island_"]).select(
+        "rep", F.col("s").alias("start"), F.col("holder").alias("other"), F.col("hs").alias("held_start"), (F.col("he") - F.col("hs")).alias("held_length")
     )
+    return passages, holders, members
+
+
+def shared_passages(texts: DataFrame, span: int = 150, gram: int = GRAM) -> DataFrame:
+    """(id, rep, start, length, n_records, passage): passage_holders' passages of each record; rep is its class."""
+    passages, _, members = passage_holders(texts, span, gram)
+    return passages.join(members, "rep").select("id", "rep", "start", "length", "n_records", "passage")
 
 
 def shared_part(texts: DataFrame, span: int = 150, gram: int = GRAM) -> DataFrame:
     """(id, n_passages, shared_chars, chars, shared_part) of every record with text; 0 where nothing is shared."""
     once = texts.where("id is not null and text is not null").groupBy("id").agg(F.max(F.length("text")).alias("chars"))
-    sums = shared_passages(texts, span, gram).groupBy("id").agg(
-        F.count(F.lit(1)).alias("n_passages"), F.sum("length").alias("shared_chars")
-    )
+    reps, members = classes(texts, span)
+    reps = cut(reps)
+    kinds, holders = forms(reps, span, gram)
+    spans = _spans(_parts(reps, members, holders, _ends(kinds, span, gram), gram))
+    sums = spans.groupBy("rep").agg(F.count(F.lit(1)).alias("n_passages"), F.sum(F.col("e") - F.col("s")).alias("shared_chars"))
+    sums = sums.join(members.distinct(), "rep").drop("rep")
     out = once.join(sums, "id", "left").na.fill(0, ["n_passages", "shared_chars"])
     part = F.when(F.col("chars") > 0, F.col("shared_chars") / F.col("chars")).otherwise(F.lit(0.0))
     return out.select("id", "n_passages", "shared_chars", "chars", part.alias("shared_part"))

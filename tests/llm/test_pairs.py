@@ -63,6 +63,19 @@ def test_shared_spans_of_hot_token(spark, monkeypatch):
     assert want and pairs(shared_spans.shared_span_pairs(texts(spark, rows), span, 30)) == want
 
 
+def test_holders_of_a_passage(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    p, q = text(50), text(60)
+    rows = [(1, f"A{p}{q}A"), (2, f"BB{p}B"), (4, f"{p}{q}D"), (5, f"{p}{q}D"), (6, text(90))]
+    passages, holders, members = shared_spans.passage_holders(texts(spark, rows), 40, 24)
+    got = {(r["rep"], r["start"], r["length"], r["n_records"]) for r in passages.collect()}
+    assert got == {(1, 1, 110, 4), (2, 2, 50, 4), (4, 0, 111, 4)}
+    held = {(r["rep"], r["start"], r["other"], r["held_start"], r["held_length"]) for r in holders.collect()}
+    assert held == {(1, 1, 2, 1, 50), (1, 1, 4, 1, 110), (2, 2, 1, 2, 50), (2, 2, 4, 2, 50), (4, 0, 1, 0, 110), (4, 0, 2, 0, 50)}
+    assert {tuple(r) for r in members.collect()} == {(1, 1), (2, 2), (4, 4), (4, 5), (6, 6)}
+
+
 def test_empty_tables(spark):
     none = texts(spark, [])
     assert pairs(shared_spans.shared_span_pairs(none)) == set()
