@@ -164,14 +164,13 @@ def similar(vertices: DataFrame, edges: DataFrame, node: str, top_n: int = 10) -
     return out.orderBy(F.col("score").desc(), "path").limit(top_n)
 
 
-def structural_pairs(edges: DataFrame, threshold: float = 0.25, limit: int | None = 100) -> DataFrame:
-    """(left, right, score, shared, union_size, method, semantic) of notes with common neighbours.
+def structural_classes(edges: DataFrame, threshold: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """(links: a, b, shared, union_size), (members: path, rep, n, members) of notes with common neighbours.
 
     Notes with the same neighbours are one class, known by sums of hashes, so that a hub's
     followers are not paired among themselves. Classes meet in the rarest of their neighbours
     only: two sets above the threshold share one of their n - ceil(threshold * n) + 1 rarest, and
-    a hub is the last of them. With a limit, a class takes part with its first limit + 1 notes,
-    as no later one can be among the first pairs.
+    a hub is the last of them. a < b are the first notes of all classes above the threshold.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must lie between 0 and 1")
@@ -181,9 +180,6 @@ def structural_pairs(edges: DataFrame, threshold: float = 0.25, limit: int | Non
     keyed = nbrs.groupBy("path").agg(*sums)
     classes = keyed.groupBy("n", "x", "s").agg(F.min("path").alias("rep"), F.count(F.lit(1)).alias("members"))
     member = cut(keyed.join(classes, ["n", "x", "s"]).select("path", "rep", "n", "members"))
-    if limit is not None:
-        first = F.row_number().over(Window.partitionBy("rep").orderBy("path"))
-        member = member.withColumn("r", first).where(F.col("r") <= limit + 1).drop("r")
     reps = member.where(F.col("path") == F.col("rep")).select("rep", "n")
     tokens = cut(nbrs.join(reps, nbrs["path"] == reps["rep"]).select("rep", "nbr", "n"))
     df = tokens.groupBy("nbr").agg(F.count(F.lit(1)).alias("df"))
@@ -198,6 +194,33 @@ def structural_pairs(edges: DataFrame, threshold: float = 0.25, limit: int | Non
     i = met.join(ta, "a").join(tb, ["b", "nbr"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     union = F.col("na") + F.col("nb") - F.col("i")
     across = i.where(F.col("i") / union >= threshold).select("a", "b", F.col("i").alias("shared"), union.alias("union_size"))
+    return across, member
+
+
+def structural_links(edges: DataFrame, threshold: float = 0.25) -> DataFrame:
+    """structural_pairs without a limit, by classes: (left, right, score, shared, union_size, method, semantic, same_class).
+
+    A row of two classes stands for all pairs of their notes and names their first ones; rows of
+    ``same_class`` link the first note of a class to each other note, all of which are pairs too.
+    """
+    across, member = structural_classes(edges, threshold)
+    cols = [F.col("a").alias("left"), F.col("b").alias("right"), "shared", "union_size"]
+    star = member.where("path <> rep").select(F.col("rep").alias("left"), F.col("path").alias("right"), F.col("n").alias("shared"), F.col("n").alias("union_size"))
+    rows = across.select(*cols, F.lit(False).alias("same_class")).unionByName(star.withColumn("same_class", F.lit(True)))
+    score = F.round(F.col("shared") / F.col("union_size"), 6).alias("score")
+    return rows.select("left", "right", score, "shared", "union_size", F.lit("jaccard").alias("method"), F.lit(False).alias("semantic"), "same_class")
+
+
+def structural_pairs(edges: DataFrame, threshold: float = 0.25, limit: int | None = 100) -> DataFrame:
+    """(left, right, score, shared, union_size, method, semantic): the first pairs, a report.
+
+    With a limit, a class takes part with its first limit + 1 notes, as no later one can be
+    among the first pairs; structural_links has all pairs by classes.
+    """
+    across, member = structural_classes(edges, threshold)
+    if limit is not None:
+        first = F.row_number().over(Window.partitionBy("rep").orderBy("path"))
+        member = member.withColumn("r", first).where(F.col("r") <= limit + 1).drop("r")
     within = member.where("members > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("n").alias("shared"), F.col("n").alias("union_size")).distinct()
     x = across.unionByName(within).join(member.select(F.col("rep").alias("a"), F.col("path").alias("p")), "a")
     y = x.join(member.select(F.col("rep").alias("b"), F.col("path").alias("q")), "b")

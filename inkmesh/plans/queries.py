@@ -231,6 +231,13 @@ def similar(spark, sf_dir):
     return graph.similar(v, e, _top_hub(v, e))
 
 
+@query
+def structural_links(spark, sf_dir):
+    """All pairs, by classes; structural_pairs, review, plan and verify_plan are the report of the first 100."""
+    _, _, e = _graph(spark, sf_dir)
+    return graph.structural_links(e)
+
+
 @query
 def structural_pairs(spark, sf_dir):
     _, _, e = _graph(spark, sf_dir)
@@ -266,6 +273,29 @@ def verify_plan(spark, sf_dir):
     return dupes.verify_plan(dupes.redirect_plan(rows.withColumn("action", F.lit("redirect"))), v.notes)
 
 
+def _reviewed_links(spark: SparkSession, sf_dir: str) -> tuple[vaults.Vault, DataFrame]:
+    v, vertices, e = _graph(spark, sf_dir)
+    pairs = cut(graph.structural_links(e).select("left", "right", "score", "same_class"))
+    return v, dupes.review(pairs, v.notes, vertices, e)
+
+
+@query
+def review_links(spark, sf_dir):
+    return _reviewed_links(spark, sf_dir)[1]
+
+
+@query
+def plan_links(spark, sf_dir):
+    _, rows = _reviewed_links(spark, sf_dir)
+    return dupes.redirect_plan(rows.withColumn("action", F.lit("redirect")))
+
+
+@query
+def verify_plan_links(spark, sf_dir):
+    v, rows = _reviewed_links(spark, sf_dir)
+    return dupes.verify_plan(dupes.redirect_plan(rows.withColumn("action", F.lit("redirect"))), v.notes)
+
+
 @query
 def group_sizes(spark, sf_dir):
     v, _, e = _graph(spark, sf_dir)

@@ -100,6 +100,23 @@ def test_structural_pairs_against_model(spark, threshold, limit):
     assert [(r["left"], r["right"]) for r in graph.structural_pairs(e, threshold, limit).collect()] == want
 
 
+def test_structural_links_are_all_pairs(spark):
+    edges = [(f"f{i:02d}", "hub") for i in range(20)] + [(f"g{i}", h) for i in range(3) for h in ("hub", "other")]
+    _, e = frames(spark, edges)
+    found = graph.structural_links(e, 0.25).collect()
+    peers, across = {}, []
+    for r in found:
+        peers.setdefault(r["left"], {r["left"]})
+        if r["same_class"]:
+            peers[r["left"]].add(r["right"])
+        else:
+            across.append((r["left"], r["right"]))
+    got = {tuple(sorted((p, q))) for a, b in across for p in peers.get(a, {a}) for q in peers.get(b, {b})}
+    got |= {(p, q) for own in peers.values() for p in own for q in own if p < q}
+    want = {(r["left"], r["right"]) for r in graph.structural_pairs(e, 0.25, None).collect()}
+    assert len(want) > 100 and got == want and len(found) < 50
+
+
 def test_degrees_and_ties(spark):
     v, e = frames(spark, [("a", "b"), ("c", "b"), ("d", "c")], ["z"])
     assert [r["path"] for r in graph.hubs(v, e, 3).collect()] == ["b", "c", "a"]
