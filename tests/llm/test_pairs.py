@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from inkmesh.llm import format_dupes, near_dupes, set_join, shared_spans
+from inkmesh.llm import common, format_dupes, near_dupes, set_join, shared_spans
 
 
 def pairs(df):
@@ -76,6 +76,12 @@ def test_holders_of_a_passage(spark):
     assert {tuple(r) for r in members.collect()} == {(1, 1), (2, 2), (4, 4), (4, 5), (6, 6)}
 
 
+def test_copies_of_a_large_class_meet_once(spark):
+    members = spark.range(1200).selectExpr("0L as rep", "id")
+    found = common.expand(spark.createDataFrame([], "a bigint, b bigint"), members)
+    assert found.count() == found.distinct().count() == 1200 * 1199 // 2
+
+
 def test_empty_tables(spark):
     none = texts(spark, [])
     assert pairs(shared_spans.shared_span_pairs(none)) == set()
