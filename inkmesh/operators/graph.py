@@ -240,17 +240,20 @@ def structural_pairs(edges: DataFrame, threshold: float = 0.25, limit: int | Non
 COLOURS = 3
 
 
-def communities(vertices: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
+def communities(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, community): label propagation by colour classes, deterministic.
 
     A hash colours vertices into classes updated one after another; a vertex takes the most
-    frequent label around it, keeps its own where that is among them, else the largest. Stops
-    when a round changes nothing or after ``rounds``. A community is named by its smallest path.
+    frequent label around it, keeps its own where that is among them, else the largest. Of
+    neighbours of one colour that would move, only the one of largest hash does: so every move
+    adds edges within a label, no state can come back, and the rounds end. Stops when a round
+    changes nothing. A community is named by its smallest path.
     """
     nbrs = cut_round(neighbour_pairs(edges))
     label = F.xxhash64("path")
     labels = cut_round(vertices.select("path", label.alias("label"), F.pmod(label, F.lit(COLOURS)).alias("colour")))
-    for _ in range(rounds):
+    moved = 1
+    while moved:
         moved = 0
         for colour in range(COLOURS):
             own = labels.where(F.col("colour") == colour).select("path", F.col("label").alias("own"))
@@ -258,10 +261,13 @@ def communities(vertices: DataFrame, edges: DataFrame, rounds: int = 20) -> Data
             ranked = around.groupBy("path", "own", "label").agg(F.count(F.lit(1)).alias("n"))
             best = ranked.groupBy("path", "own").agg(F.max(F.struct("n", (F.col("label") == F.col("own")).alias("kept"), "label")).alias("b"))
             news = best.where("b.label <> own").select("path", F.col("b.label").alias("new"))
+            news = cut_round(news)
+            a, b = news.select("path"), news.select(F.col("path").alias("nbr"))
+            order = lambda c: F.struct(F.xxhash64(c), F.col(c))
+            waits = nbrs.join(a, "path").join(b, "nbr").where(order("path") < order("nbr")).select("path").distinct()
+            news = news.join(waits, "path", "left_anti")
             labels = cut_round(labels.join(news, "path", "left").select("path", F.coalesce("new", "label").alias("label"), "colour", F.col("new").isNotNull().alias("moved")))
             moved += labels.where("moved").count()
-        if not moved:
-            break
     names = labels.groupBy("label").agg(F.min("path").alias("community"))
     return labels.join(names, "label").select("path", "community")
 

@@ -138,6 +138,18 @@ def test_communities(spark):
     assert sum(r["size"] for r in report) == len(groups) and all(len(r["members"]) == min(5, r["size"]) for r in report)
 
 
+def test_communities_settle(spark):
+    rng = random.Random(4)
+    edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(80)] + sorted({(f"r{rng.randint(0, 60)}", f"q{rng.randint(0, 60)}") for _ in range(120)})
+    v, e = frames(spark, edges)
+    groups = {r["path"]: r["community"] for r in graph.communities(v, e).collect()}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, []).append(groups[b])
+        near.setdefault(b, []).append(groups[a])
+    assert all(own.count(groups[n]) == max(map(own.count, own)) for n, own in near.items())
+
+
 def test_empty_graph(spark):
     v, e = frames(spark, [])
     assert graph.hubs(v, e).count() == graph.structural_pairs(e).count() == graph.communities(v, e).count() == 0
