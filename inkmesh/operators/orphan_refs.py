@@ -8,7 +8,7 @@ carry a time bucket, so a key that holds a large part of all references is sprea
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmesh.functions.paths import basename, beside, normpath, parent
@@ -16,8 +16,8 @@ from inkmesh.functions.text import micros, percent_decode, strip_ws
 
 #: Buckets of 2**43 microseconds, about 102 days.
 BUCKET_BITS = 43
-#: Spread of one key's lifetimes before their runs are merged.
-MERGE_SALTS = 32
+#: Slices of 2**37 microseconds, about 38 hours, in which the lifetimes of one key are joined first.
+SLICE_BITS = 37
 #: Kinds of key: whole path, path with an optional suffix, name with an optional suffix.
 EXACT, PATH, NAME = 0, 1, 2
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
@@ -63,45 +63,52 @@ def _merge(acc: Column, x: Column) -> Column:
 def runs(keys: DataFrame, first: Column, last: Column) -> DataFrame:
     """Contiguous runs per (kind, key, bucket), clipped to [first, last] as sorted arrays.
 
-    Merging goes by salted parts first: a name that many parents share is no single task.
+    Equal lifetimes, as those that fill a bucket, are one before anything is shuffled. Runs are
+    joined within slices of a bucket first, by one pass over sorted rows, so that a name that many
+    parents share is neither one task nor one array; an array has the runs that are left of them.
     """
     low, high = F.greatest(F.col("start"), first), F.least(F.coalesce(F.col("end"), last + 1), last + 1)
     width = F.lit(1 << BUCKET_BITS)
-    empty = F.array().cast("array<struct<s:bigint,e:bigint>>")
     parts = (
         keys.select("kind", "key", low.alias("s"), high.alias("e"))
         .where("s < e")
         .withColumn("bucket", F.explode(F.sequence(F.shiftright("s", BUCKET_BITS), F.shiftright(F.col("e") - 1, BUCKET_BITS))))
         .withColumn("b0", F.col("bucket").cast("bigint") * width)
-        .select(
-            "kind", "key", "bucket", F.greatest("s", F.col("b0")).alias("s"), F.least(F.col("e"), F.col("b0") + width).alias("e")
-        )
+        .select("kind", "key", "bucket", F.greatest("s", F.col("b0")).alias("s"), F.least(F.col("e"), F.col("b0") + width).alias("e"))
+        .groupBy("kind", "key", "bucket", F.shiftright("s", SLICE_BITS).alias("slice"), "s")
+        .agg(F.max("e").alias("e"))
     )
-    merged = lambda c: F.aggregate(F.array_sort(c), empty, _merge)
-    salted = parts.groupBy("kind", "key", "bucket", F.pmod(F.xxhash64("s", "e"), F.lit(MERGE_SALTS)).alias("salt")).agg(
-        merged(F.collect_set(F.struct("s", "e"))).alias("r")
+    w = Window.partitionBy("kind", "key", "bucket", "slice").orderBy("s")
+    before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = parts.withColumn("new", (before.isNull() | (before < F.col("s"))).cast("int")).withColumn("island", F.sum("new").over(w))
+    joined = apart.groupBy("kind", "key", "bucket", "slice", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    empty = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    return joined.groupBy("kind", "key", "bucket").agg(
+        F.aggregate(F.array_sort(F.collect_list(F.struct("s", "e"))), empty, _merge).alias("runs")
     )
-    return salted.groupBy("kind", "key", "bucket").agg(merged(F.flatten(F.collect_list("r"))).alias("runs"))
 
 
 def dangling(refs: DataFrame, keys: DataFrame, instants: DataFrame) -> DataFrame:
-    """(link_id, slot, at) of references none of whose keys lives at ``at``.
-
-    refs: link_id, slot, at (microseconds), kind, key; several rows are alternatives of one
-    reference. A null key never lives. Repeated rows count once. ``instants`` holds every
-    ``at`` (more does no harm); only its extremes are used, to clip lifetimes.
+    """(link_id, row, slot, at) of references none of whose keys lives at ``at``.
+
+    refs: link_id, row, slot, at (microseconds), kind, key; rows that agree in the first four are
+    alternatives of one reference. A null key never lives. Repeated rows count once; two
+    references of one link_id and slot that differ do not hide each other, and dangle if one
+    does. ``instants`` holds every ``at`` (more does no harm); only its extremes are used, to
+    clip lifetimes. A key that very many references hold is spread over its buckets, and within
+    one by the adaptive split of skewed joins.
     """
     span = instants.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
     if span["lo"] is None:
-        return refs.select("link_id", "slot", "at").limit(0)
+        return refs.select("link_id", "row", "slot", "at").limit(0)
     table = runs(keys, F.lit(span["lo"]), F.lit(span["hi"]))
     probe = refs.withColumn("bucket", F.shiftright("at", BUCKET_BITS))
     before = F.filter("runs", lambda r: r["s"] <= F.col("at"))
     lives = F.coalesce(F.try_element_at(before, F.lit(-1))["e"] > F.col("at"), F.lit(False))
     return (
         probe.join(table, ["kind", "key", "bucket"], "left")
-        .groupBy("link_id", "slot")
-        .agg(F.max(lives).alias("lives"), F.max("at").alias("at"))
+        .groupBy("link_id", "row", "slot", "at")
+        .agg(F.max(lives).alias("lives"))
         .where(~F.col("lives"))
         .drop("lives")
     )
@@ -115,7 +122,11 @@ def lifetimes(notes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def link_refs(links: DataFrame) -> DataFrame:
-    """References of links: slot 0 the raw target with its alternatives, slot i a candidate."""
+    """References of links: slot 0 the raw target with its alternatives, slot i a candidate.
+
+    A raw target with a leading '/' starts at the root and is not looked for beside ``src``.
+    ``row`` tells apart unequal rows that share a link_id.
+    """
     t, src = F.col("t"), F.col("src")
 
     def key(kind: int, x: Column) -> Column:
@@ -124,7 +135,7 @@ def link_refs(links: DataFrame) -> DataFrame:
     own = F.array_compact(
         F.array(
             F.when(t.isNotNull(), key(PATH, F.col("root"))),
-            F.when(F.col("near") != F.col("root"), key(PATH, F.col("near"))),
+            F.when(~F.col("rooted") & (F.col("near") != F.col("root")), key(PATH, F.col("near"))),
             F.when((F.col("kind") == "wikilink") & ~F.contains(t, F.lit("/")), key(NAME, t)),
         )
     )
@@ -134,12 +145,18 @@ def link_refs(links: DataFrame) -> DataFrame:
     every = F.when(F.col("candidates").isNull(), own).otherwise(F.concat(own, F.array_compact(cands)))
     # One step for each column that the next uses more than once: none is computed twice.
     rows = links.where("seen_at is not null").select(
-        "link_id", "src", "kind", "candidates", micros(F.col("seen_at")).alias("at"), link_target(F.col("kind"), F.col("raw")).alias("t")
+        "link_id",
+        F.xxhash64("src", "kind", "raw", "candidates").alias("row"),
+        "src",
+        "kind",
+        "candidates",
+        micros(F.col("seen_at")).alias("at"),
+        link_target(F.col("kind"), F.col("raw")).alias("t"),
     )
-    rows = rows.withColumn("rel", F.ltrim(t, F.lit("/")))
+    rows = rows.withColumn("rel", F.ltrim(t, F.lit("/"))).withColumn("rooted", t.startswith("/"))
     rows = rows.withColumn("near", F.when(src.isNotNull(), beside(parent(src), F.col("rel"))))
     rows = rows.withColumn("root", normpath(F.col("rel"))).withColumn("near", normpath(F.col("near")))
-    return rows.select("link_id", "at", F.explode(every).alias("k")).select("link_id", "at", "k.slot", "k.kind", "k.key")
+    return rows.select("link_id", "row", "at", F.explode(every).alias("k")).select("link_id", "row", "at", "k.slot", "k.kind", "k.key")
 
 
 def dangling_links(links: DataFrame, notes: DataFrame, files: DataFrame) -> DataFrame:
@@ -150,7 +167,8 @@ def dangling_links(links: DataFrame, notes: DataFrame, files: DataFrame) -> Data
     with no parents every reference dangles. Other columns of the inputs are ignored.
     """
     instants = links.select(micros(F.col("seen_at")).alias("at"))
-    return dangling(link_refs(links), parent_keys(lifetimes(notes, files)), instants)
+    lost = dangling(link_refs(links), parent_keys(lifetimes(notes, files)), instants)
+    return lost.groupBy("link_id", "slot").agg(F.max("at").alias("at"))
 
 
 def dangling_report(links: DataFrame, notes: DataFrame, files: DataFrame) -> DataFrame:
@@ -163,7 +181,7 @@ def dangling_report(links: DataFrame, notes: DataFrame, files: DataFrame) -> Dat
     lost = dangling(refs, keys, links.select(micros(F.col("seen_at")).alias("at")))
     ever = keys.groupBy("kind", "key").agg(F.min("source").alias("source"))
     named = (
-        refs.join(lost.select("link_id", "slot"), ["link_id", "slot"], "left_semi")
+        refs.join(lost, ["link_id", "row", "slot", "at"], "left_semi")
         .join(ever, ["kind", "key"], "left")
         .groupBy("link_id", "slot")
         .agg(F.min("source").alias("source"), F.max("at").alias("at"))

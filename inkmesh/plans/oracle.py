@@ -164,7 +164,7 @@ t2 AS (SELECT *, CASE WHEN kind = 'wikilink' THEN regexp_replace(t, '\\\\?\\|.*$
 t3 AS (SELECT *, CASE WHEN kind = 'markdown' THEN url_decode(regexp_replace(u, '^<(.*)>$', '\\1', 's')) ELSE u END AS w FROM t2),
 t4 AS (SELECT *, trim(ltrim(trim(string_split(w, '#')[1], {_WS}), '!'), {_WS}) AS x FROM t3),
 t5 AS (SELECT *, ltrim(x, '/') AS y FROM t4 WHERE x <> '' AND NOT regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.\\-]*:')),
-pk AS (SELECT link_id, 0 AS slot, seen_at, {_norm("y")} AS k FROM t5 UNION SELECT link_id, 0, seen_at, {_norm(_FOLDER + " || '/' || y")} FROM t5 WHERE src IS NOT NULL),
+pk AS (SELECT link_id, 0 AS slot, seen_at, {_norm("y")} AS k FROM t5 UNION SELECT link_id, 0, seen_at, {_norm(_FOLDER + " || '/' || y")} FROM t5 WHERE src IS NOT NULL AND NOT starts_with(x, '/')),
 pe AS (SELECT link_id, slot, seen_at, unnest([k, k || '.md']) AS k FROM pk
   UNION SELECT link_id, CAST(i AS INTEGER), seen_at, candidates[i] FROM (SELECT link_id, seen_at, candidates, unnest(range(1, len(candidates) + 1)) AS i FROM lk) WHERE candidates[i] IS NOT NULL),
 ne AS (SELECT link_id, 0 AS slot, seen_at, unnest([x, x || '.md']) AS k FROM t5 WHERE kind = 'wikilink' AND NOT contains(x, '/')),

@@ -46,12 +46,16 @@ def test_lifetimes_and_spellings(spark):
         (3, "a/c.md", "wikilink", "b", None, at(20)),
         (18, "q/c.md", None, "a/b", [], at(1)),
         (19, "q/c.md", "wikilink", "b", ["gone"], None),
+        (20, "a/c.md", "markdown", "/b.md", None, at(1)),  # from the root only
+        (21, "q/c.md", "markdown", "/a/b.md#x", None, at(1)),
+        (22, "q/c.md", "wikilink", "a/b", None, at(1)),  # two unequal rows of one id
+        (22, "q/c.md", "wikilink", "a/gone", None, at(1)),
     ]
     got, report = run(spark, links, notes, files)
-    assert got == {(3, 0), (8, 0), (9, 0), (14, 3), (14, 4), (15, 0), (15, 1), (16, 0), (17, 0)}
+    assert got == {(3, 0), (8, 0), (9, 0), (14, 3), (14, 4), (15, 0), (15, 1), (16, 0), (17, 0), (20, 0), (22, 0)}
     assert sum(r["dangling"] for r in report.collect()) == len(got)
     by = {(r["referenced"], r["month"]): r["dangling"] for r in report.collect()}
-    assert by[("shared_files", "2024-01")] == 2 and by[("none", "2024-01")] == 6 and by[("notes", "2024-01")] == 1
+    assert by[("shared_files", "2024-01")] == 2 and by[("none", "2024-01")] == 8 and by[("notes", "2024-01")] == 1
 
 
 def test_runs_over_many_buckets(spark):
@@ -62,6 +66,15 @@ def test_runs_over_many_buckets(spark):
     assert got == {(i, 0) for i, *_, t in links if not any(a <= t < b for _, a, b in notes)}
 
 
+def test_name_of_many_parents(spark):
+    """A name that very many parents share, with lifetimes that overlap, touch, nest and leave gaps."""
+    notes = [(f"d{k}/README.md", T0 + k * DAY / 7, T0 + k * DAY / 7 + (k % 11) * DAY / 20) for k in range(1500)]
+    links = [(i, "s.md", "wikilink", "README", None, T0 + i * DAY / 3) for i in range(660)]
+    got, _ = run(spark, links, notes)
+    assert got == {(i, 0) for i, *_, t in links if not any(a <= t < b for _, a, b in notes)}
+    assert 0 < len(got) < 660
+
+
 def test_empty_tables(spark):
     links = [(1, "s.md", "wikilink", "a", None, T0)]
     assert run(spark, links, [])[0] == {(1, 0)}
