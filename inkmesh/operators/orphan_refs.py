@@ -91,7 +91,7 @@ def runs(keys: DataFrame, first: Column, last: Column) -> DataFrame:
 def dangling(refs: DataFrame, keys: DataFrame, instants: DataFrame) -> DataFrame:
     """(link_id, row, slot, at) of references none of whose keys lives at ``at``.
 
-    refs: link_id, row, slot, at (microseconds), kind, key; rows that agree in the first four are
+    refs: link_id, row, slot, at (microseconds), kind, key; rows that agree in the first three are
     alternatives of one reference. A null key never lives. Repeated rows count once; two
     references of one link_id and slot that differ do not hide each other, and dangle if one
     does. ``instants`` holds every ``at`` (more does no harm); only its extremes are used, to
@@ -107,8 +107,8 @@ def dangling(refs: DataFrame, keys: DataFrame, instants: DataFrame) -> DataFrame
     lives = F.coalesce(F.try_element_at(before, F.lit(-1))["e"] > F.col("at"), F.lit(False))
     return (
         probe.join(table, ["kind", "key", "bucket"], "left")
-        .groupBy("link_id", "row", "slot", "at")
-        .agg(F.max(lives).alias("lives"))
+        .groupBy("link_id", "row", "slot")
+        .agg(F.max(lives).alias("lives"), F.max("at").alias("at"))
         .where(~F.col("lives"))
         .drop("lives")
     )
@@ -146,7 +146,7 @@ def link_refs(links: DataFrame) -> DataFrame:
     # One step for each column that the next uses more than once: none is computed twice.
     rows = links.where("seen_at is not null").select(
         "link_id",
-        F.xxhash64("src", "kind", "raw", "candidates").alias("row"),
+        F.hash("src", "kind", "raw", "candidates", "seen_at").alias("row"),
         "src",
         "kind",
         "candidates",
@@ -181,7 +181,7 @@ def dangling_report(links: DataFrame, notes: DataFrame, files: DataFrame) -> Dat
     lost = dangling(refs, keys, links.select(micros(F.col("seen_at")).alias("at")))
     ever = keys.groupBy("kind", "key").agg(F.min("source").alias("source"))
     named = (
-        refs.join(lost, ["link_id", "row", "slot", "at"], "left_semi")
+        refs.join(lost.drop("at"), ["link_id", "row", "slot"], "left_semi")
         .join(ever, ["kind", "key"], "left")
         .groupBy("link_id", "slot")
         .agg(F.min("source").alias("source"), F.max("at").alias("at"))
