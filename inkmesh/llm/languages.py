@@ -11,7 +11,8 @@ The n-gram model is fitted on a bounded sample: about SAMPLE documents for each
 by a hash of their id among those whose label names it and whose text is not empty, and of each
 the SAMPLE_CUES cues of least hash from its whole length (pieces of at most CUE_CHARS characters,
 where a cue is longer). As labels err, the sample's cues are re-labelled by the model itself
-ROUNDS times. All documents are then read whole, in one pass without a shuffle.
+ROUNDS times. The same sample shows what adverts and credits look like: short cues that recur
+under unrelated titles, each time with another name. All documents are then read whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -47,14 +48,10 @@ NAMES = {
     "ru": ("rus", "russian"),
     "sv": ("swe", "swedish"),
 }
-# Words and endings by which adverts and credits in subtitles are told.
-ADVERT = re.compile(
-    r"www\.|https?:|\.example\b|\.com\b"
-    r"|\b(?:subtitles|synced|corrected|subtítulos|subtitulado|untertitel|sous-titres|sottotitoli|ondertiteld|ondertiteling|ondertitels"
-    r"|vertaald|legendas|undertexter|undertextning|titulky|субтитры|перевод)\b.{0,40}?(?:Text|Subs|Team|24)\b"
-    r"|\w(?-i:Text|Subs|24)\b|\w (?-i:Team)\b",
-    re.IGNORECASE | re.DOTALL,
-)
+#: An advert's sure sign is a web address.
+ADDRESS = re.compile(r"\bwww\.|\bhttps?:|\b[\w-]+\.(?:com|net|org|info|example)\b", re.IGNORECASE)
+#: Adverts are cues of AD_WORDS words, the same under AD_TITLES titles or more but for a name of up to AD_NAME words.
+AD_WORDS, AD_TITLES, AD_NAME, AD_MARK = (3, 12), 4, 3, 0.5
 LANGUAGES = sorted(NAMES)
 _BY_NAME = {n: code for code, names in NAMES.items() for n in (code, *names)}
 
@@ -66,12 +63,62 @@ def label_code(label: Column) -> Column:
     return F.try_element_at(table, head)
 
 
+Template = tuple[tuple[str, ...], tuple[str, ...]]
+
+
+def _templates(w: list[str]) -> Iterator[Template]:
+    """(words before, words behind) a run of up to AD_NAME words of a cue; at least two words stay."""
+    for name in range(1, min(AD_NAME, len(w) - 2) + 1):
+        for i in range(len(w) - name + 1):
+            yield tuple(w[:i]), tuple(w[i + name :])
+
+
+@dataclass
+class Adverts:
+    """What tells adverts and credits from speech: web addresses, and learned templates around a name.
+
+    A template is kept when one of its words is a mark: a word that stands in such templates at
+    least as often as elsewhere. Cues that lack a mark are never compared with templates.
+    """
+
+    templates: frozenset[Template] = frozenset()
+    marks: frozenset[str] = frozenset()
+
+    def has(self, cue: str, w: list[str]) -> bool:
+        if "." in cue or ":" in cue:
+            if ADDRESS.search(cue):
+                return True
+        if self.marks.isdisjoint(w) or not AD_WORDS[0] <= len(w) <= AD_WORDS[1]:
+            return False
+        return any(t in self.templates for t in _templates(w))
+
+
+def learn_adverts(sample: list[tuple[int, list[list[str]]]]) -> Adverts:
+    """From (title, words of its cues): the templates that recur under unrelated titles with other names."""
+    short = [(title, w) for title, own in sample for w in own if AD_WORDS[0] <= len(w) <= AD_WORDS[1]]
+    seen: dict[Template, tuple[set, set]] = {}
+    for title, w in short:
+        for t in _templates(w):
+            titles, names = seen.setdefault(t, (set(), set()))
+            titles.add(title)
+            names.add(tuple(w[len(t[0]) : len(w) - len(t[1])]))
+    often = {t for t, (titles, names) in seen.items() if min(len(titles), len(names)) >= AD_TITLES}
+    in_all, in_templates = Counter(), Counter()
+    for _, w in short:
+        in_all.update(set(w))
+        in_templates.update({x for t in _templates(w) if t in often for side in t for x in side})
+    marks = {x for x, n in in_templates.items() if n >= AD_MARK * in_all[x]}
+    kept = {t for t in often if any(x in marks for side in t for x in side)}
+    return Adverts(frozenset(kept), frozenset(x for t in kept for side in t for x in side if x in marks))
+
+
 @dataclass
 class Model:
-    """Log-likelihoods of the last character of n-grams, per language."""
+    """Log-likelihoods of the last character of n-grams, per language, and what tells adverts."""
 
     grams: dict[str, np.ndarray]
     floor: np.ndarray
+    adverts: Adverts = field(default_factory=Adverts)
 
     def word(self, w: str) -> np.ndarray:
         s, total = f"\x02{w}\x03", np.zeros(len(LANGUAGES))
@@ -173,7 +220,7 @@ class Reader:
         rows = self.rows
         for k, cue in enumerate(cues(text)):
             w = WORD.findall(cue.lower())
-            if w and not ADVERT.search(cue):
+            if w and not self.model.adverts.has(cue, w):
                 at.append(k)
                 sizes.append(len(w))
                 own.append(w)
@@ -188,11 +235,10 @@ class Reader:
 
 
 def drawn_cues(text: str, most: int = SAMPLE_CUES) -> list[str]:
-    """At most ``most`` cues of a text, those of least hash, in order; adverts are left out."""
+    """At most ``most`` cues of a text, those of least hash, in order."""
     pieces = []
     for c in cues(text):
-        if not ADVERT.search(c):
-            pieces += [c] if len(c) <= CUE_CHARS else re.findall(rf"\S.{{0,{CUE_CHARS - 1}}}(?!\S)|\S{{1,{CUE_CHARS}}}", c, re.DOTALL)
+        pieces += [c] if len(c) <= CUE_CHARS else re.findall(rf"\S.{{0,{CUE_CHARS - 1}}}(?!\S)|\S{{1,{CUE_CHARS}}}", c, re.DOTALL)
     if len(pieces) <= most:
         return pieces
     least = heapq.nsmallest(most, range(len(pieces)), key=lambda k: (zlib.crc32(pieces[k].encode("utf-8", "surrogatepass"), k), k))
@@ -202,12 +248,14 @@ def drawn_cues(text: str, most: int = SAMPLE_CUES) -> list[str]:
 def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = pa.array([drawn_cues(t) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([batch.column("code"), own], names=["code", "cues"])
+        yield pa.RecordBatch.from_arrays([batch.column("code"), batch.column("title"), own], names=["code", "title", "cues"])
 
 
-def train(labelled: list[tuple[str, list[str]]]) -> Model:
-    """Model from (code, cues), re-labelled cue by cue."""
-    texts = [(LANGUAGES.index(code), [WORD.findall(c.lower()) for c in own]) for code, own in labelled]
+def train(labelled: list[tuple[str, int, list[str]]]) -> Model:
+    """Model from (code, title, cues), re-labelled cue by cue."""
+    split = [(code, title, [(c, WORD.findall(c.lower())) for c in own]) for code, title, own in labelled]
+    adverts = learn_adverts([(title, [w for _, w in own]) for _, title, own in split])
+    texts = [(LANGUAGES.index(code), [w for c, w in own if w and not adverts.has(c, w)]) for code, _, own in split]
     counts = [Counter() for _ in LANGUAGES]
     for lang, own in texts:
         for w in own:
@@ -217,7 +265,6 @@ def train(labelled: list[tuple[str, list[str]]]) -> Model:
         cache: dict[str, np.ndarray] = {}
         counts = [Counter() for _ in LANGUAGES]
         for _, own in texts:
-            own = [w for w in own if w]
             if not own:
                 continue
             vec = lambda x: cache[x] if x in cache else cache.setdefault(x, model.word(x))
@@ -227,21 +274,27 @@ def train(labelled: list[tuple[str, list[str]]]) -> Model:
                 if p > 0.9:
                     counts[lang].update(w)
         model = fit_model(counts)
+    model.adverts = adverts
     return model
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Model from a bounded sample of labelled documents; None where no label names a language."""
+    """Model from a bounded sample of labelled documents; None where no label names a language.
+
+    Documents of one ``title_id`` are related; without that column or value each is a title.
+    """
     code = label_code(F.col("lang"))
+    title = F.negate(F.col("doc_id")) - 1
+    title = F.coalesce(F.xxhash64("title_id"), title) if "title_id" in documents.columns else title
     own = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).withColumn("code", code).where("code is not null")
     sizes = {r["code"]: r["n"] for r in own.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     part = F.create_map(*(F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, sample / n))))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = own.where(draw < F.try_element_at(part, F.col("code"))).select("code", "text")
-    rows = drawn.mapInArrow(_drawn, "code string, cues array<string>").limit(2 * sample * len(LANGUAGES)).collect()
-    return train(sorted((r["code"], r["cues"]) for r in rows))
+    drawn = own.where(draw < F.try_element_at(part, F.col("code"))).select("code", title.alias("title"), "text")
+    rows = drawn.mapInArrow(_drawn, "code string, title bigint, cues array<string>").limit(2 * sample * len(LANGUAGES)).collect()
+    return train(sorted((r["code"], r["title"], r["cues"]) for r in rows))
 
 
 def _detected(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

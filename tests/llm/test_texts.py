@@ -134,6 +134,19 @@ def test_sample_of_a_text_is_bounded():
     assert languages.drawn_cues(cue(1, "a b") + cue(2, "c", "d")) == subtitles.cues(cue(1, "a b") + cue(2, "c", "d"))
 
 
+def test_adverts_are_learned():
+    names = ["Alpha7", "Bravo Team", "Charlie", "Delta9", "Echo Group", "Foxtrot"]
+    talk = ["in 1924 the year was long", "our team was here in 2024", "we saw the old house", "we went home at night", "you saw it all before"]
+    sample = [(k, [c.lower().split() for c in (f"subtitles by {n}", *talk, f"we saw {n}")]) for k, n in enumerate(names)]
+    ads = languages.learn_adverts(sample)
+    has = lambda c: ads.has(c, subtitles.words(c))
+    assert has("Subtitles by Golf12") and has("visit www.site.org today") and has("https://a.b")
+    assert not any(map(has, [*talk, "It happened in 2024.", "Das Team ist hier.", "by the river", ""]))
+    one_title = [(1, own) for _, own in sample]
+    assert not languages.learn_adverts(one_title).templates
+    assert languages.learn_adverts([]) == languages.Adverts()
+
+
 def test_languages_without_labels(spark):
     df = spark.createDataFrame([(1, None, cue(1, "some words"))], "doc_id bigint, lang string, text string")
     assert languages.mislabelled(languages.detect(df)).count() == 0
