@@ -51,7 +51,9 @@ NAMES = {
 #: An advert's sure sign is a web address.
 ADDRESS = re.compile(r"\bwww\.|\bhttps?:|\b[\w-]+\.(?:com|net|org|info|example)\b", re.IGNORECASE)
 #: Adverts are cues of AD_WORDS words, the same under AD_TITLES titles or more but for a name of up to AD_NAME words.
-AD_WORDS, AD_TITLES, AD_NAME, AD_MARK = (3, 12), 4, 3, 0.5
+AD_WORDS, AD_TITLES, AD_NAME, AD_MARK = (3, 10), 4, 2, 0.5
+#: Counters of templates met, by hash: all that is held of those that do not recur.
+AD_COUNTERS = 1 << 22
 LANGUAGES = sorted(NAMES)
 _BY_NAME = {n: code for code, names in NAMES.items() for n in (code, *names)}
 
@@ -96,12 +98,17 @@ class Adverts:
 def learn_adverts(sample: list[tuple[int, list[list[str]]]]) -> Adverts:
     """From (title, words of its cues): the templates that recur under unrelated titles with other names."""
     short = [(title, w) for title, own in sample for w in own if AD_WORDS[0] <= len(w) <= AD_WORDS[1]]
+    met = np.zeros(AD_COUNTERS, dtype=np.int32)
+    for k in range(0, len(short), 1000):
+        at = [hash(t) % AD_COUNTERS for _, w in short[k : k + 1000] for t in _templates(w)]
+        np.add.at(met, np.array(at, dtype=np.int64), 1)
     seen: dict[Template, tuple[set, set]] = {}
     for title, w in short:
         for t in _templates(w):
-            titles, names = seen.setdefault(t, (set(), set()))
-            titles.add(title)
-            names.add(tuple(w[len(t[0]) : len(w) - len(t[1])]))
+            if met[hash(t) % AD_COUNTERS] >= AD_TITLES:
+                titles, names = seen.setdefault(t, (set(), set()))
+                titles.add(title)
+                names.add(tuple(w[len(t[0]) : len(w) - len(t[1])]))
     often = {t for t, (titles, names) in seen.items() if min(len(titles), len(names)) >= AD_TITLES}
     in_all, in_templates = Counter(), Counter()
     for _, w in short:

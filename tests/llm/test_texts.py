@@ -136,7 +136,7 @@ def test_sample_of_a_text_is_bounded():
 
 def test_adverts_are_learned():
     names = ["Alpha7", "Bravo Team", "Charlie", "Delta9", "Echo Group", "Foxtrot"]
-    talk = ["in 1924 the year was long", "our team was here in 2024", "we saw the old house", "we went home at night", "you saw it all before"]
+    talk = ["in 1924 the year was long", "our team was here in 2024", "we saw the old house", "we went home", "we all know", "you saw it before", "he saw nothing"]
     sample = [(k, [c.lower().split() for c in (f"subtitles by {n}", *talk, f"we saw {n}")]) for k, n in enumerate(names)]
     ads = languages.learn_adverts(sample)
     has = lambda c: ads.has(c, subtitles.words(c))
