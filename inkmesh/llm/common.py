@@ -48,6 +48,30 @@ def meet(rows: DataFrame, group: str, n: str, spread: str, keep: list[str], wher
     return left.join(right, on)
 
 
+def within(members: DataFrame) -> DataFrame:
+    """(a, b) with a < b of all ids of one class; members: distinct (rep, id)."""
+    n = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return meet(members.join(n, "rep"), "rep", "n", "id", []).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+
+def across(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(x, y): a member of class a with a member of class b, for links (a, b) and distinct members (rep, id).
+
+    Classes above BLOCK members are joined block by block, so no key of a join has more.
+    """
+    large = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k")).where("k > 1")
+    dealt = members.join(large, "rep", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    dealt = dealt.select("rep", "id", F.pmod(F.xxhash64("id", F.lit(11)), F.col("k")).cast("int").alias("blk"))
+    parts = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(c), F.lit(1)) - 1))
+    each = links.select("a", "b")
+    for end in ("a", "b"):
+        each = each.join(large.select(F.col("rep").alias(end), F.col("k").alias(f"k{end}")), end, "left")
+    each = each.withColumn("ia", parts("ka")).withColumn("ib", parts("kb")).select("a", "b", "ia", "ib")
+    for end, out in (("a", "x"), ("b", "y")):
+        each = each.join(dealt.select(F.col("rep").alias(end), F.col("blk").alias(f"i{end}"), F.col("id").alias(out)), [end, f"i{end}"])
+    return each.select("x", "y")
+
+
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b) with a < b of all ids whose classes are equal or linked.
 
@@ -55,12 +79,8 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     single records; the work is that of the result.
     """
     m = members.distinct()
-    n = m.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    within = meet(m.join(n, "rep"), "rep", "n", "id", []).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    x = pairs.join(m.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a")
-    y = x.join(m.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
-    across = y.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return within.unionByName(across)
+    other = across(pairs, m).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return within(m).unionByName(other)
 
 
 def parity_sketch(hashes: Column, words: int) -> list[Column]:

@@ -1,17 +1,19 @@
 """Long exact spans shared between records (problem 1): compact windows.
 
-The tokens of a text are its runs of GRAM characters, ordered by a hash. The Cartesian tree over
-the hashes of a text groups all its subsequences by the position of their smallest token: a node
-(l, c, r) stands for every subsequence of [l, r] that contains c. Nodes narrower than the tokens
-of a span of the wanted length are left out, about 2 in (span - GRAM + 1) positions remain. A
-span that two texts share has the same leftmost smallest token in both, so the centres of its
-windows in both texts carry the same token at the same offset: for verbatim spans one hash finds
-every pair, more hashes would only be needed for altered spans.
-
-Windows that share a token meet by *form*, i.e. the characters around the centre that any span
-through it could use: equal forms are one, forms of one token are compared by their common
-characters to both sides, and a token with more than HOT forms is split by the exact spans
-through its centre instead, so that only pairs that share one meet.
+The tokens of a text are its runs of ``gram`` characters, ordered by a hash. The Cartesian tree
+over the hashes of a text groups all its subsequences by their smallest token: a node (l, c, r)
+stands for every subsequence of [l, r] that contains c, all of which have the token at c as their
+min-hash. Nodes narrower than the tokens of a span of the wanted length are left out, about 2 in
+(span - gram + 1) positions remain; l and r are kept up to the width of a span, which a node of
+any greater width holds too. A span that two texts share has the same leftmost smallest token in
+both, so it lies in a window of each, with the same token at the same offset: for verbatim spans
+one hash finds every pair, more hashes would only be needed for altered spans.
+
+Windows that share a token meet by an interval join: what [l, r] leaves on both sides of the
+centres must be wide enough together. They meet by *form*, i.e. the characters of the window:
+equal forms are one, forms of one token are compared by their common characters to both sides,
+and a token with more than HOT forms is split by the exact spans through its centre instead, so
+that only pairs that share one meet.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import expand, meet
+from inkmesh.llm.common import across, expand, meet, within
 from inkmesh.session import cut, skew_join
 
 GRAM, HOT = 100, 64
@@ -46,24 +48,49 @@ def token_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-def compact_centres(order: np.ndarray, width: int) -> np.ndarray:
-    """Places that are the smallest of some ``width`` neighbours in ``order`` (all different).
+def span_gram(span: int, gram: int | None) -> int:
+    """Length of tokens: as given, else two thirds of a span, GRAM at most."""
+    gram = min(GRAM, -(-2 * span // 3)) if gram is None else gram
+    if not 1 <= gram <= span:
+        raise ValueError("span must be positive, and gram between 1 and span")
+    return gram
 
-    These are the nodes of the Cartesian tree over ``order`` that span ``width`` or more: the
-    node of a window's minimum reaches at least over that window. The minima of all windows
-    are found by doubling, so that no text, however periodic, costs more than others.
+
+def range_minima(order: np.ndarray, width: int) -> list[np.ndarray]:
+    """Level j: the minima of all 2 ** j neighbours, for powers up to ``width``."""
+    levels = [order]
+    while 2 ** len(levels) <= width and len(levels[-1]) > 2 ** (len(levels) - 1):
+        low, have = levels[-1], 2 ** (len(levels) - 1)
+        levels.append(np.minimum(low[:-have], low[have:]))
+    return levels
+
+
+def window_minima(levels: list[np.ndarray], width: int) -> np.ndarray:
+    """The minima of all ``width`` neighbours."""
+    j = width.bit_length() - 1
+    rest = width - (1 << j)
+    if j >= len(levels) or len(levels[j]) <= rest:
+        return levels[0][:0]
+    return np.minimum(levels[j][: len(levels[j]) - rest], levels[j][rest:])
+
+
+def tree_reach(levels: list[np.ndarray], at: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """How far the Cartesian tree's nodes at places ``at`` reach to one side (step -1 or 1), ``most`` at most.
+
+    A node reaches to the next smaller token, found by ever shorter jumps over range minima.
     """
-    low, have = order, 1
-    while 2 * have <= width:
-        low = np.minimum(low[:-have], low[have:])
-        have *= 2
-    if have < width:
-        low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
-    return low
+    reach, own = np.zeros(len(at), dtype=np.int64), levels[0][at]
+    for j in reversed(range(len(levels))):
+        size = 1 << j
+        first = at + reach + 1 if step > 0 else at - reach - size
+        fits = reach + size <= most
+        low = levels[j][np.clip(first, 0, len(levels[j]) - 1)]
+        reach += np.where(fits & (low > own), size, 0)
+    return reach
 
 
 _PLACE = np.uint64(24)  # bits of a place in CHUNK texts' tokens; the rest of the order is hash
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 def _chunk_windows(reps: list[int], texts: list[str], span: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -73,18 +100,28 @@ def _chunk_windows(reps: list[int], texts: list[str], span: int, gram: int) -> t
     ends = np.cumsum([len(t) for t in texts])
     # One text may be longer than a chunk: its places then wrap, which only matters for equal hashes.
     order = (h >> _PLACE << _PLACE) | (place & np.uint64((1 << 24) - 1))
-    low = compact_centres(order, width)
+    levels = range_minima(order, width)
+    low = window_minima(levels, width)
     start = np.arange(len(low))
     inside = start + span <= ends[np.searchsorted(ends, start, side="right")]
     base = start[inside].astype(np.uint64)
     at = base + ((low[inside] - base) & np.uint64((1 << 24) - 1))
     at = np.unique(at).astype(np.int64)
     doc = np.searchsorted(ends, at, side="right")
-    return np.array(reps, dtype=np.int64)[doc], at - np.r_[0, ends[:-1]][doc], h[at].view(np.int64)
+    pos = at - np.r_[0, ends[:-1]][doc]
+    left = tree_reach(levels, at, np.minimum(pos, width - 1), -1)
+    right = tree_reach(levels, at, np.minimum(ends[doc] - gram - at, width - 1), 1)
+    return np.array(reps, dtype=np.int64)[doc], pos, left.astype(np.int32), right.astype(np.int32), h[at].view(np.int64)
+
+
+_WINDOW = "rep bigint, pos bigint, left int, right int, key bigint"
 
 
 def windows(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(rep, pos, key) of the compact windows of texts (rep, text) of at least ``span`` characters."""
+    """Compact windows of texts (rep, text) of at least ``span`` characters.
+
+    pos: place of the smallest token, key: its hash, left and right: how far the window reaches.
+    """
     for batch in batches:
         reps, texts = batch.column("rep").to_pylist(), batch.column("text").to_pylist()
         first, chars = 0, 0
@@ -92,7 +129,7 @@ def windows(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator
             chars += len(t)
             if chars >= CHUNK or k == len(texts) - 1:
                 cols = _chunk_windows(reps[first : k + 1], texts[first : k + 1], span, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["rep", "pos", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["rep", "pos", "left", "right", "key"])
                 first, chars = k + 1, 0
 
 
@@ -107,18 +144,16 @@ def classes(texts: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
 
 
 def forms(reps: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """(forms: form, key, l, r, n), (holders: form, rep, pos) of windows whose token two texts hold.
+    """(forms: form, key, l, r, many), (holders: form, rep, pos) of windows whose token two texts hold.
 
-    l holds up to span - gram characters before the centre, r as many behind its token.
+    l holds the window's characters before the centre, r those behind its token.
     """
-    w = cut(reps.mapInArrow(lambda it: windows(it, span, gram), "rep bigint, pos bigint, key bigint"))
+    w = cut(reps.mapInArrow(lambda it: windows(it, span, gram), _WINDOW))
     shared = w.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("k"))
     live = skew_join(w, shared.where("lo < hi").select("key", "k"), "key", "k", "rep")
-    side = span - gram
-    start = F.greatest(F.col("pos") - side, F.lit(0))
-    around = lambda a, n: F.substring(F.col("text"), (a + 1).cast("int"), n.cast("int"))
+    part = lambda a, n: F.substring(F.col("text"), (a + 1).cast("int"), n.cast("int"))
     rich = live.join(reps, "rep").select(
-        "rep", "pos", "key", around(start, F.col("pos") - start).alias("l"), around(F.col("pos") + gram, F.lit(side)).alias("r")
+        "rep", "pos", "key", part(F.col("pos") - F.col("left"), F.col("left")).alias("l"), part(F.col("pos") + gram, F.col("right")).alias("r")
     )
     rich = cut(rich.withColumn("form", F.xxhash64("key", "l", "r")))
     kinds = rich.groupBy("form", "key", "l", "r").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
@@ -142,7 +177,10 @@ def form_links(kinds: DataFrame, span: int, gram: int) -> DataFrame:
     known = cut(skew_join(kinds, count.withColumn("k", F.col("n")), "key", "k", "form"))
     full = known.where(F.col("many") & (F.length("l") + F.length("r") >= side))
     same = full.select(F.col("form").alias("fa"), F.col("form").alias("fb"), F.length("l").alias("left"), F.length("r").alias("right"))
-    cold = meet(known.where((F.col("n") > 1) & (F.col("n") <= HOT)), "key", "n", "form", ["l", "r"])
+    # The interval join: a span must fit between the nearer ends of two windows.
+    known = known.withColumn("nl", F.length("l")).withColumn("nr", F.length("r"))
+    wide = F.least("a_nl", "b_nl") + F.least("a_nr", "b_nr") >= side
+    cold = meet(known.where((F.col("n") > 1) & (F.col("n") <= HOT)), "key", "n", "form", ["l", "r", "nl", "nr"], wide)
     # Hot tokens: one row per exact span through the centre; its classes hold true pairs only.
     hot = known.where(F.col("n") > HOT)
     ends = F.filter(F.sequence(F.lit(0), F.lit(side)), lambda i: (i <= F.length("l")) & (F.lit(side) - i <= F.length("r")))
@@ -158,18 +196,20 @@ def form_links(kinds: DataFrame, span: int, gram: int) -> DataFrame:
 
 
 def _rep_pairs(links: DataFrame, holders: DataFrame) -> DataFrame:
-    h = holders.select("form", "rep").distinct()
-    x = links.select("fa", "fb").join(h.select(F.col("form").alias("fa"), F.col("rep").alias("x")), "fa")
-    y = x.join(h.select(F.col("form").alias("fb"), F.col("rep").alias("y")), "fb").where("x <> y")
-    return y.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    h = holders.select(F.col("form").alias("rep"), F.col("rep").alias("id")).distinct()
+    own = links.where("fa = fb").select(F.col("fa").alias("rep")).distinct()
+    same = within(h.join(own, "rep", "left_semi"))
+    others = across(links.where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b")), h).where("x <> y")
+    return same.unionByName(others.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
-def shared_span_pairs(texts: DataFrame, span: int = 150, gram: int = GRAM) -> DataFrame:
-    """(a, b), a < b, of all records (id, text) with an identical run of ``span`` characters.
+def shared_span_pairs(texts: DataFrame, span: int = 150, gram: int | None = None) -> DataFrame:
+    """(a, b), a < b, of all records (id, text) with an identical run of ``span`` characters, 1 or more.
 
     Null ids and texts and shorter texts are never a case; texts are taken whole; a record
     delivered twice counts once; an empty table gives no rows. Characters are code points.
     """
+    gram = span_gram(span, gram)
     reps, members = classes(texts, span)
     kinds, holders = forms(cut(reps), span, gram)
     return expand(_rep_pairs(cut(form_links(kinds, span, gram)), holders), members)
@@ -212,7 +252,7 @@ def _spans(parts: DataFrame) -> DataFrame:
     return parts.groupBy("rep", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
 
 
-def passage_holders(texts: DataFrame, span: int = 150, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
+def passage_holders(texts: DataFrame, span: int = 150, gram: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(passages, holders, members): shared passages and the other records that hold a part of them.
 
     passages: (rep, start, length, n_records, passage) of each class of equal texts;
@@ -221,6 +261,7 @@ def passage_holders(texts: DataFrame, span: int = 150, gram: int = GRAM) -> tupl
     characters. holders: (rep, start, other, held_start, held_length), a row for each stretch
     of the passage at ``start`` that another class holds in such runs. members: (rep, id).
     """
+    gram = span_gram(span, gram)
     reps, members = classes(texts, span)
     reps, members = cut(reps), cut(members.distinct())
     kinds, forms_of = forms(reps, span, gram)
@@ -250,15 +291,16 @@ def passage_holders(texts: DataFrame, span: int = 150, gram: int = GRAM) -> tupl
     return passages, holders, members
 
 
-def shared_passages(texts: DataFrame, span: int = 150, gram: int = GRAM) -> DataFrame:
+def shared_passages(texts: DataFrame, span: int = 150, gram: int | None = None) -> DataFrame:
     """(id, rep, start, length, n_records, passage): passage_holders' passages of each record; rep is its class."""
     passages, _, members = passage_holders(texts, span, gram)
     return passages.join(members, "rep").select("id", "rep", "start", "length", "n_records", "passage")
 
 
-def shared_part(texts: DataFrame, span: int = 150, gram: int = GRAM) -> DataFrame:
+def shared_part(texts: DataFrame, span: int = 150, gram: int | None = None) -> DataFrame:
     """(id, n_passages, shared_chars, chars, shared_part) of every record with text; 0 where nothing is shared."""
     once = texts.where("id is not null and text is not null").groupBy("id").agg(F.max(F.length("text")).alias("chars"))
+    gram = span_gram(span, gram)
     reps, members = classes(texts, span)
     reps = cut(reps)
     kinds, holders = forms(reps, span, gram)

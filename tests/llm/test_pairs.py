@@ -63,6 +63,47 @@ def test_shared_spans_of_hot_token(spark, monkeypatch):
     assert want and pairs(shared_spans.shared_span_pairs(texts(spark, rows), span, 30)) == want
 
 
+def test_shared_spans_of_any_length(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrs ") for _ in range(n))
+    p = text(80)
+    df = texts(spark, [(1, text(30) + p + text(9)), (2, text(5) + p), (3, "x" + p[10:71]), (4, text(50))])
+    assert pairs(shared_spans.shared_span_pairs(df, 60)) == {(1, 2), (1, 3), (2, 3)}
+    assert pairs(shared_spans.shared_span_pairs(df, 62)) == {(1, 2)}
+    for span, gram in ((0, None), (-5, None), (10, 11), (10, 0)):
+        with pytest.raises(ValueError, match="span"):
+            shared_spans.shared_span_pairs(df, span, gram)
+
+
+def test_windows_are_nodes_of_the_cartesian_tree():
+    rng = np.random.default_rng(3)
+    for n, width in ((1, 1), (7, 3), (60, 9), (200, 16), (5, 9)):
+        order = rng.permutation(n).astype(np.uint64)
+        levels = shared_spans.range_minima(order, width)
+        at = np.arange(n)
+        left = shared_spans.tree_reach(levels, at, np.minimum(at, width - 1), -1)
+        right = shared_spans.tree_reach(levels, at, np.minimum(n - 1 - at, width - 1), 1)
+        for c in range(n):
+            lo = hi = c
+            while lo and order[lo - 1] > order[c] and c - lo < width - 1:
+                lo -= 1
+            while hi < n - 1 and order[hi + 1] > order[c] and hi - c < width - 1:
+                hi += 1
+            assert (c - left[c], c + right[c]) == (lo, hi)
+        low = shared_spans.window_minima(levels, width)
+        assert low.tolist() == [order[i : i + width].min() for i in range(n - width + 1)]
+
+
+def test_holders_of_large_forms(spark, monkeypatch):
+    monkeypatch.setattr(common, "BLOCK", 3)
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrs ") for _ in range(n))
+    p, q = text(30), text(30)
+    rows = [(i, f"{text(9)}{p}{q if i % 2 else text(12)}{text(9)}") for i in range(16)]
+    assert pairs(shared_spans.shared_span_pairs(texts(spark, rows), 30)) == set(combinations(range(16), 2))
+    assert pairs(shared_spans.shared_span_pairs(texts(spark, rows), 60)) == {x for x in combinations(range(16), 2) if x[0] % 2 and x[1] % 2}
+
+
 def test_holders_of_a_passage(spark):
     rng = random.Random(8)
     text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
