@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkmesh.session import cut
+
 #: Rows of one group that meet in one task, at most twice this many.
 BLOCK = 512
 
@@ -59,11 +61,14 @@ def across(links: DataFrame, members: DataFrame) -> DataFrame:
 
     Classes above BLOCK members are joined block by block, so no key of a join has more.
     """
-    large = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k")).where("k > 1")
-    dealt = members.join(large, "rep", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    large = cut(members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k")).where("k > 1"))
+    each, dealt = links.select("a", "b"), members.select("rep", "id")
+    if large.isEmpty():  # the same rows by a shorter plan
+        each = each.join(dealt.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a")
+        return each.join(dealt.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
+    dealt = dealt.join(large, "rep", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     dealt = dealt.select("rep", "id", F.pmod(F.xxhash64("id", F.lit(11)), F.col("k")).cast("int").alias("blk"))
     parts = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(c), F.lit(1)) - 1))
-    each = links.select("a", "b")
     for end in ("a", "b"):
         each = each.join(large.select(F.col("rep").alias(end), F.col("k").alias(f"k{end}")), end, "left")
     each = each.withColumn("ia", parts("ka")).withColumn("ib", parts("kb")).select("a", "b", "ia", "ib")
@@ -78,7 +83,7 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     pairs: (a, b) of class ids; members: (rep, id). Only for results whose columns are ids of
     single records; the work is that of the result.
     """
-    m = members.distinct()
+    m = cut(members.distinct())
     other = across(pairs, m).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return within(m).unionByName(other)
 

@@ -196,7 +196,7 @@ def form_links(kinds: DataFrame, span: int, gram: int) -> DataFrame:
 
 
 def _rep_pairs(links: DataFrame, holders: DataFrame) -> DataFrame:
-    h = holders.select(F.col("form").alias("rep"), F.col("rep").alias("id")).distinct()
+    h = cut(holders.select(F.col("form").alias("rep"), F.col("rep").alias("id")).distinct())
     own = links.where("fa = fb").select(F.col("fa").alias("rep")).distinct()
     same = within(h.join(own, "rep", "left_semi"))
     others = across(links.where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b")), h).where("x <> y")
