@@ -3,13 +3,15 @@
 A record is the set of its word shingles. Sets are banded by size, each band's tokens are
 dealt to B blocks by hash, and a block's sketch is the XOR of its tokens' hashes. Sets with
 Jaccard >= tau differ in at most D = (a + b)(1 - tau) / (1 + tau) tokens, so at least B - D
-blocks agree (pigeonhole): sets that agree in a block meet, a parity sketch whose Hamming
-distance bounds the symmetric difference from below drops most, and the rest are verified.
-
-Nothing is lost to skew: empty blocks (E) and blocks shared by more than HOT sets (H) are no
-join keys, and a pair must agree in B - D - E - H other blocks. Only a set for which that is
-none also goes, with its tokens ordered by rising frequency, through a prefix filter, which is
-exact for two such sets.
+blocks agree (pigeonhole), B - D - E of those that hold tokens, where E are empty. Blocks that
+no other set has agree with none; of the others, in order of rising frequency, a set needs as
+keys only the first ones, so many that B - D - E agreements cannot all lie behind them. Sets that
+meet in a key are compared by parity sketches, whose Hamming distance bounds the symmetric
+difference from below, and what is left is verified on the tokens.
+
+Nothing is lost to skew: blocks shared by more than HOT sets (H) are no keys, and a pair must
+agree in B - D - E - H others. Only a set for which that is none also goes, with its tokens
+ordered by rising frequency, through a prefix filter, which is exact for two such sets.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import expand, hamming, max_difference, meet, parity_sketch
+from inkmesh.llm.common import expand, hamming, max_difference, meet
 from inkmesh.session import cut, cut_round, skew_join
 
 HOT, SLACK, WORDS = 64, 1.5, 8
@@ -60,10 +62,24 @@ def level_plan(level: int, tau: float) -> tuple[int, int]:
     return top, math.ceil(SLACK * (widest + 1)) + 1
 
 
+def parity_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, size, s0, s1, ...) of sets (rep, h): every token flips one of 64 * WORDS bits."""
+    for batch in batches:
+        lists = batch.column("h")
+        tokens = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        sizes = np.diff(lists.offsets.to_numpy())
+        place = np.repeat(np.arange(len(sizes)), sizes) * WORDS + ((tokens >> np.uint64(40)) % np.uint64(WORDS)).astype(np.int64)
+        words = np.zeros(len(sizes) * WORDS, dtype=np.uint64)
+        np.bitwise_xor.at(words, place, np.uint64(1) << ((tokens >> np.uint64(8)) % np.uint64(64)))
+        words = words.view(np.int64).reshape(-1, WORDS)
+        cols = [batch.column("rep"), pa.array(sizes, pa.int32()), *(pa.array(words[:, k]) for k in range(WORDS))]
+        yield pa.RecordBatch.from_arrays(cols, names=["rep", "size", *_SK])
+
+
 def block_keys(batches: Iterator[pa.RecordBatch], tau: float) -> Iterator[pa.RecordBatch]:
-    """(rep, level, own, size, slack, key) of every non-empty block of sets (rep, size, h).
+    """(rep, band, slack, key) of every non-empty block of sets (rep, size, h); band is 2 * level + own.
 
-    A set belongs to its ``own`` band as the smaller side and to the band below as the larger
+    A set belongs to its own band as the smaller side and to the band below as the larger
     one. ``slack`` = B - D less the set's empty blocks: so many blocks that hold tokens agree
     with any similar set. Where that is none, one row without key says so.
     """
@@ -101,13 +117,11 @@ def block_keys(batches: Iterator[pa.RecordBatch], tau: float) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(reps[row]),
-                    pa.array(level[row].astype(np.int32)),
-                    pa.array(np.full(len(row), not below)),
-                    pa.array(sizes[row].astype(np.int32)),
+                    pa.array((2 * level[row] + (not below)).astype(np.int32)),
                     pa.array(slack[row].astype(np.int32)),
                     pa.array(np.r_[key.view(np.int64), np.zeros(len(none), dtype=np.int64)], mask=np.arange(len(row)) >= len(who)),
                 ],
-                names=["rep", "level", "own", "size", "slack", "key"],
+                names=["rep", "band", "slack", "key"],
             )
 
 
@@ -120,8 +134,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def prefix_candidates(unlucky: DataFrame, reps: DataFrame, tau: float) -> DataFrame:
-    """Exact candidates among sets (rep, level): their rarest tokens must meet."""
-    t = unlucky.join(reps, "rep").select("rep", "level", "size", F.explode("h").alias("t"))
+    """Exact candidates among sets (rep, band): their rarest tokens must meet."""
+    t = unlucky.join(reps, "rep").select("rep", F.shiftright("band", 1).alias("level"), "size", F.explode("h").alias("t"))
     t = t.withColumn("key", F.xxhash64("level", "t"))
     df = t.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     t = skew_join(t, df.withColumn("k", F.col("n")), "key", "k", "rep")
@@ -132,31 +146,39 @@ def prefix_candidates(unlucky: DataFrame, reps: DataFrame, tau: float) -> DataFr
 
 
 def candidates(reps: DataFrame, tau: float) -> DataFrame:
-    """Distinct (a, b) of classes that agree in as many blocks as similar ones must."""
-    schema = "rep bigint, level int, own boolean, size int, slack int, key bigint"
+    """Distinct (a, b) of classes that agree in one of the blocks in which similar ones must."""
+    schema = "rep bigint, band int, slack int, key bigint"
     every = reps.select("rep", "size", "h").mapInArrow(lambda it: block_keys(it, tau), schema)
     keys = every.where("key is not null")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = cut(skew_join(keys, counts.withColumn("k", F.col("n")), "key", "k", "rep"))
-    hot = cut(live.where(F.col("n") > HOT).groupBy("rep", "level").agg(F.count(F.lit(1)).alias("hot"), F.max("slack").alias("slack")))
-    cold = live.where(F.col("n") <= HOT).join(hot.select("rep", "level", "hot"), ["rep", "level"], "left")
-    cold = cold.withColumn("need", F.col("slack") - F.coalesce("hot", F.lit(0)))
-    met = meet(cold, "key", "n", "rep", ["level", "own", "size", "need"], _close(tau) & (F.col("a_own") | F.col("b_own")))
-    agree = met.groupBy("a_rep", "b_rep", "a_level").agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest("a_need", "b_need")).alias("need"))
-    pairs = _ends(agree.where("c >= need"))
-    unlucky = every.where("key is null").select("rep", "level").unionByName(hot.where("hot >= slack").select("rep", "level")).distinct()
-    return pairs.unionByName(prefix_candidates(cut(unlucky), reps, tau)).distinct()
+    live = skew_join(keys, counts.withColumn("k", F.col("n")), "key", "k", "rep")
+    own = Window.partitionBy("rep", "band")
+    ranked = live.select("*", F.row_number().over(own.orderBy("n", "key")).alias("r"), F.count(F.lit(1)).over(own).alias("live"))
+    # Not live are the blocks that no other set has; with fewer live ones than must agree there is no partner.
+    ranked = cut(ranked.where(F.col("r") <= F.col("live") - F.col("slack") + 1))
+    cold = ranked.where(F.col("n") <= HOT).select("rep", "band", "key")
+    again = cold.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cold = skew_join(cold, again.withColumn("k", F.col("n")), "key", "k", "rep")
+    met = meet(cold, "key", "n", "rep", ["band"], F.col("a_band").bitwiseOR(F.col("b_band")) % 2 == 1)
+    # Blocks are ranked with the hot ones last: a hot key among the first ones says that too few others must agree.
+    hot = ranked.where(F.col("n") > HOT).select("rep", "band")
+    unlucky = every.where("key is null").select("rep", "band").unionByName(hot).distinct()
+    return _ends(met).unionByName(prefix_candidates(cut(unlucky), reps, tau)).distinct()
 
 
 def similar_classes(reps: DataFrame, tau: float) -> DataFrame:
     """(a, b, score) of classes with Jaccard >= tau."""
-    facts = reps.select("rep", "size", "h", *parity_sketch(F.col("h"), WORDS))
-    side = lambda p: facts.select(F.col("rep").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("size", "h", *_SK)))
-    both = candidates(reps, tau).join(side("a"), "a").join(side("b"), "b")
+    pairs = cut(candidates(reps, tau))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    schema = "rep bigint, size int, " + ", ".join(f"{c} bigint" for c in _SK)
+    facts = cut(reps.join(named, "rep", "left_semi").select("rep", "h").mapInArrow(parity_sketches, schema))
+    side = lambda p: facts.select(F.col("rep").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("size", *_SK)))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_close(tau))
     both = both.where(hamming(WORDS) <= max_difference(F.col("a_size"), F.col("b_size"), tau))
-    common = F.size(F.array_intersect("a_h", "b_h"))
-    score = F.col("i") / (F.col("a_size") + F.col("b_size") - F.col("i"))
-    return both.withColumn("i", common).select("a", "b", score.alias("score")).where(F.col("score") >= tau)
+    near = both.select("a", "b")
+    full = near.join(reps.select(F.col("rep").alias("a"), F.col("h").alias("a_h")), "a").join(reps.select(F.col("rep").alias("b"), F.col("h").alias("b_h")), "b")
+    score = F.col("i") / (F.size("a_h") + F.size("b_h") - F.col("i"))
+    return full.withColumn("i", F.size(F.array_intersect("a_h", "b_h"))).select("a", "b", score.alias("score")).where(F.col("score") >= tau)
 
 
 def near_duplicate_pairs(texts: DataFrame, tau: float = 0.7, width: int = 3) -> DataFrame:
