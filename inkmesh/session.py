@@ -79,7 +79,8 @@ def skew_join(
     right = keyed.join(hot, keyed[key] == F.col("_hk"), "left")
     each = F.when(F.col("_hk").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = right.withColumn("_salt", F.explode(each)).drop("_hk", n)
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    # A row per key and salt: no partition of that side can be hot, so hashing it needs no sort of the many rows.
+    return left.join(right.hint("shuffle_hash"), [key, "_salt"], how).drop("_salt")
 
 
 def ship(spark: SparkSession) -> None:
