@@ -7,8 +7,10 @@ normal form, then only classes with several members by costlier ones:
 2. the letter histogram of digest and paths together;
 3. the full normal form.
 
-A class whose smallest and largest id agree has one member and leaves at once; both come from
-partial aggregates, so a class with a third of all rows costs no more than any other.
+The texts of what stays after the first step are cleaned once, for both costlier keys; the stages
+after it move only ids and hashes. A class whose smallest and largest id agree
+has one member and leaves at once; both come from partial aggregates, so a class with a third of
+all rows costs no more than any other.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmesh.functions.text import letters_digits
-from inkmesh.session import skew_join
+from inkmesh.session import cut, skew_join
 
 
 def _several(rows: DataFrame, key: str) -> DataFrame:
@@ -45,13 +47,14 @@ def copies(rows: DataFrame) -> DataFrame:
     base = rows.select("row_id", "sha256", "paths", "count").where(
         "row_id is not null and sha256 is not null and paths is not null"
     )
-    digest = letters_digits(F.col("sha256"))
-    names = F.array_sort(F.transform("paths", letters_digits))
-    one = base.withColumn("k1", F.xxhash64(F.length(digest), F.size("paths"), "count"))
-    two = _several(one, "k1").withColumn("k2", F.xxhash64("k1", _histogram(F.concat(F.array(digest), names))))
-    three = _several(two, "k2").select(
-        "row_id", F.sha2(F.to_json(F.struct(digest.alias("d"), names.alias("p"), F.col("count").alias("c")), {"ignoreNullFields": "false"}), 256).alias("k3")
+    one = base.withColumn("k1", F.xxhash64(F.length(letters_digits(F.col("sha256"))), F.size("paths"), "count"))
+    # Only members of classes of several are cleaned, once each: one step for each column that the next uses twice.
+    clean = _several(one, "k1").select(
+        "row_id", "k1", letters_digits(F.col("sha256")).alias("d"), F.array_sort(F.transform("paths", letters_digits)).alias("p"), F.col("count").alias("c")
     )
+    form = F.sha2(F.to_json(F.struct("d", "p", "c"), {"ignoreNullFields": "false"}), 256)
+    hashed = cut(clean.select("row_id", F.xxhash64("k1", _histogram(F.concat(F.array("d"), "p"))).alias("k2"), form.alias("k3")))
+    three = _several(hashed, "k2").select("row_id", "k3")
     classes = (
         three.distinct().groupBy("k3").agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     )
