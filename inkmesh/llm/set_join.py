@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from inkmesh.llm.common import expand, hamming, max_difference, meet, parity_sketch
 from inkmesh.session import cut, skew_join
 
-TREES, BRANCH, LEAF, MAX_DEPTH, WORDS = 4, 3.0, 48, 6, 4
+TREES, BRANCH, LEAF, MAX_DEPTH, WORDS = 4, 3.0, 256, 6, 4
 _SK = [f"s{w}" for w in range(WORDS)]
 
 
@@ -41,13 +41,13 @@ def _children(rows: DataFrame, depth: int, tau: float, branch: float) -> DataFra
     room = F.col("size") * F.lit(tau) - depth
     p = F.when(room <= branch, F.lit(1.0)).otherwise(F.lit(branch) / room)
     limit = (p * F.lit(float(1 << 32))).cast("bigint")
-    made = F.transform(
-        F.filter("h", lambda x: ~F.array_contains("used", x)),
-        lambda x: F.struct(F.xxhash64("node", x).alias("node"), F.array_append("used", x).alias("used")),
-    )
-    chosen = F.filter(made, lambda m: F.pmod(F.shiftrightunsigned(m["node"], 20), F.lit(1 << 32)) < limit)
+    # Hashes are all that is made for every token; nodes and paths only for the chosen ones.
+    low = lambda x: F.pmod(F.shiftrightunsigned(F.xxhash64("node", x), 20), F.lit(1 << 32)) < limit
+    chosen = F.filter("h", low if not depth else lambda x: low(x) & ~F.array_contains("used", x))
     kept = [c for c in rows.columns if c not in ("h", "node", "used")]
-    return rows.select(*kept, F.explode(chosen).alias("m")).select(*kept, "m.node", "m.used")
+    each = rows.select(*kept, "node", *(["used"] if depth else []), F.explode(chosen).alias("x"))
+    used = F.array_append("used", F.col("x")) if depth else F.array("x")
+    return each.select(*kept, F.xxhash64("node", "x").alias("node"), used.alias("used"))
 
 
 def candidates(reps: DataFrame, tau: float, trees: int, branch: float, leaf: int) -> DataFrame:
@@ -66,7 +66,7 @@ def candidates(reps: DataFrame, tau: float, trees: int, branch: float, leaf: int
         found = p if found is None else found.unionByName(p)
 
     start = facts.withColumn("node", F.explode(F.array(*(F.xxhash64(F.lit(t)) for t in range(trees)))))
-    rows = _children(start.withColumn("used", F.array().cast("array<bigint>")), 0, tau, branch)
+    rows = _children(start, 0, tau, branch)
     for depth in range(1, MAX_DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         live = skew_join(rows, sizes.withColumn("k", F.col("n")), "node", "k", "rep")
