@@ -4,10 +4,12 @@ A text is as long as its tokens; longer than a container, it is cut into full co
 rest. Items are dealt to shards of about SHARD items by hash, and ISLANDS populations evolve
 for each shard, every one in a task of its own. A solution is a grouping of items into bins.
 Crossover injects well-filled bins of one parent into a copy of the other, drops the bins that
-hold any of their items, and puts displaced items back by best fit, longest first. After each
+hold any of their items, lets displaced items replace smaller ones where they fill a bin better,
+and puts the rest back by best fit, longest first. After each
 of EPOCHS epochs an island's elite migrates to the next island of its shard. Bins that are not
 well filled go to another level, where the rests of all shards are dealt to fewer shards and
-packed again, until one shard is left; so the unused space does not grow with the shards.
+packed again, until one shard is left or a level needs no fewer containers for the same items;
+so the unused space does not grow with the shards.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from inkmesh.session import cut
 
 CAPACITY, SHARD, ISLANDS, EPOCHS = 4096, 4000, 3, 3
-POPULATION, GENERATIONS, WELL_FILLED = 8, 40, 0.998
+POPULATION, GENERATIONS, WELL_FILLED, SWAPS = 8, 40, 0.998, 24
+#: Levels of packing end when one lowers the number of containers by no more than this part.
+LEAST_GAIN = 0.001
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -99,6 +103,43 @@ def best_fit(bin_of: np.ndarray, fill: list[int], items: np.ndarray, sizes: np.n
             insort(room, (r - s, b))
 
 
+def _sets(at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums, first, second) of all single items and pairs of ``at``, by rising sum; second -1 for singles."""
+    i, j = np.triu_indices(len(at), 1)
+    sums = np.r_[sizes[at], sizes[at[i]] + sizes[at[j]]]
+    order = np.argsort(sums, kind="stable")
+    return sums[order], np.r_[at, at[i]][order], np.r_[np.full(len(at), -1), at[j]][order]
+
+
+def swap_in(bin_of: np.ndarray, fill: list[int], out: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """Dominance: in some bins, one or two items give way to one or two displaced ones that fill them better.
+
+    Changes bin_of and fill; gives the items that are displaced afterwards. The swapped-out items
+    are smaller together, so that they are easier to place.
+    """
+    open_bins = np.flatnonzero(np.asarray(fill) < capacity)
+    if not len(open_bins) or not len(out):
+        return out
+    bins = rng.choice(open_bins, size=min(SWAPS, len(open_bins)), replace=False)
+    order = np.argsort(bin_of, kind="stable")
+    lo, hi = np.searchsorted(bin_of[order], bins), np.searchsorted(bin_of[order], bins, side="right")
+    for b, x, y in zip(bins.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        near = out if len(out) <= 48 else out[rng.choice(len(out), 48, replace=False)]
+        sums, f, g = _sets(near, sizes)
+        less, p, q = _sets(order[x:y], sizes)
+        k = np.searchsorted(sums, less + capacity - fill[b], side="right") - 1
+        gain = np.where(k >= 0, sums[np.maximum(k, 0)] - less, 0)
+        m = int(gain.argmax())
+        if gain[m] <= 0:
+            continue
+        came = [i for i in (int(f[k[m]]), int(g[k[m]])) if i >= 0]
+        went = [i for i in (int(p[m]), int(q[m])) if i >= 0]
+        bin_of[came], bin_of[went] = b, -1
+        fill[b] += int(gain[m])
+        out = np.r_[out[~np.isin(out, came)], went]
+    return out
+
+
 def first_groupings(sizes: np.ndarray, capacity: int, n: int, rng: np.random.Generator) -> list[Grouping]:
     out = []
     for k in range(n):
@@ -130,6 +171,7 @@ def crossover(a: Grouping, donor: Grouping, sizes: np.ndarray, capacity: int, rn
     _, at = np.unique(bin_of[kept], return_inverse=True)
     bin_of[kept] = at
     fill = np.bincount(at, weights=sizes[kept]).astype(np.int64).tolist() if len(kept) else []
+    displaced = swap_in(bin_of, fill, displaced, sizes, capacity, rng)
     best_fit(bin_of, fill, displaced[np.argsort(-sizes[displaced], kind="stable")], sizes, capacity)
     return Grouping(bin_of, sizes)
 
@@ -219,23 +261,22 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     full = every.where(F.col("size") == capacity)
     full = full.withColumn("container", F.concat_ws("-", F.lit("f"), "doc_id", "piece")).withColumn("used", F.col("size").cast("bigint"))
     parts = [none, full]
-    rest, level = every.where((F.col("size") > 0) & (F.col("size") < capacity)), 0
+    rest, level, before = every.where((F.col("size") > 0) & (F.col("size") < capacity)), 0, None
     n = rest.count()
     while n:
         shards = -(-n // shard)
         placed = cut(pack_shards(_shards(rest, shards, level), capacity))
         placed = placed.join(every.select("doc_id", "piece", "start"), ["doc_id", "piece"])
-        done = F.lit(True) if shards == 1 else F.col("fill") >= F.lit(WELL_FILLED * capacity)
+        well = F.col("fill") >= F.lit(WELL_FILLED * capacity)
+        bins = placed.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("items"), F.first("fill").alias("fill"))
+        facts = bins.agg(F.count(F.lit(1)), F.count_if(~well), F.sum(F.when(~well, F.col("items")))).first()
+        last = shards == 1 or (before is not None and facts[0] > (1 - LEAST_GAIN) * before)
+        done = F.lit(True) if last else well
         label = F.concat_ws("-", F.lit(level), "shard", "bin")
         parts.append(placed.where(done).select("doc_id", "piece", "start", "size", label.alias("container"), F.col("fill").alias("used")))
-        if shards == 1:
-            break
-        left = cut(placed.where(~done).select("doc_id", "piece", "start", "size"))
-        m = left.count()
-        if m > 0.9 * n:  # too little was well filled to go on: the bins stay as they are
-            parts.append(placed.where(~done).select("doc_id", "piece", "start", "size", label.alias("container"), F.col("fill").alias("used")))
+        if last:
             break
-        rest, n, level = left, m, level + 1
+        rest, before, n, level = cut(placed.where(~well).select("doc_id", "piece", "start", "size")), facts[1], facts[2] or 0, level + 1
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p.select(*out.columns))

@@ -196,3 +196,28 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello, world"), (2, ""), (3, None), (4, "<|endoftext|> é")], "doc_id bigint, text string")
     counts = {r["doc_id"]: r["tokens"] for r in packing.token_counts(df).collect()}
     assert set(counts) == {1, 2, 4} and counts[2] == 0 and counts[1] > 0
+
+
+def test_genetic_packing_beats_best_fit():
+    """Triples that fill containers exactly, and sizes of a fifth to two fifths of one, where best fit wastes space."""
+    rng = np.random.default_rng(5)
+    first = rng.integers(1025, 2048, 150)
+    second = (4096 - first) // 2 + rng.integers(-256, 256, 150)
+    for sizes in (np.r_[first, second, 4096 - first - second], rng.integers(820, 1640, 450)):
+        sizes = np.sort(sizes)[::-1].astype(np.int64)
+        fill: list = []
+        packing.best_fit(np.full(len(sizes), -1), fill, np.arange(len(sizes)), sizes, 4096)
+        best: list = []
+        for epoch in range(packing.EPOCHS):
+            bins, _ = packing.evolve(sizes, 4096, epoch, best, packing.GENERATIONS)
+            best = [bins]
+        used = np.bincount(bins, weights=sizes)
+        least = -(-int(sizes.sum()) // 4096)
+        assert used.max() <= 4096 and used.sum() == sizes.sum() and used.min() > 0
+        assert len(used) <= least + 2 and len(used) < len(fill) - 3
+
+
+def test_packing_ends_where_nothing_fits(spark):
+    df = spark.createDataFrame([(d, 2100 + d % 1900) for d in range(400)], "doc_id bigint, tokens bigint")
+    rows = packing.pack(df, shard=50).collect()
+    assert len({r["container"] for r in rows}) == len(rows) == 400
