@@ -16,9 +16,26 @@ FENCE = r"(?Umd)^[\s&&[^\n]]*(?:```|~~~)[^\n]*$"
 SCHEME = r"^[a-z][a-z0-9+.\-]*:"
 # Targets that stand for something else.
 PLACEHOLDER = r"(?iUd)^(path|local_path|url|new_path|old_path|your-|example|todo|xxx|\$.*|\d+|\.+\.*|.*\*.*|.*<.*>.*)$"
+# First folders of a web site's paths.
 SITE_DIRS = (
-    "categories category tags tag archives archive changelog start docs guide guides tutorial tutorials blog skills-market advanced uploads"
-).split()
+    "categories",
+    "category",
+    "tags",
+    "tag",
+    "archives",
+    "archive",
+    "changelog",
+    "start",
+    "docs",
+    "guide",
+    "guides",
+    "tutorial",
+    "tutorials",
+    "blog",
+    "skills-market",
+    "advanced",
+    "uploads",
+)
 
 
 def strip_code(text: Column) -> Column:

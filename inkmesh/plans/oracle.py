@@ -96,7 +96,7 @@ UNION ALL SELECT 'notes_in', {_TOP}, count(*) FROM v GROUP BY 2""",
     "link_stats": RESOLVE + "SELECT count(*) AS notes, count(*) FILTER (out_degree > 0) AS linked_notes, CAST(sum(out_degree) AS BIGINT) AS edges FROM dg",
     "orphan_classes": RESOLVE + "SELECT path, class, zero FROM oc",
     "orphan_summary": RESOLVE + "SELECT class, count(*) AS notes, round(100.0 * count(*) / (SELECT count(*) FROM oc), 1) AS percent FROM oc GROUP BY class",
-    "orphan_dirs": RESOLVE
+    "orphan_dirs": RESOLVE.replace("coalesce(content, '') || chr(10) || coalesce(t, '') AS text FROM nt LEFT JOIN tk ON nt.path = tk.src", "content AS text FROM nt WHERE content IS NOT NULL")
     + f"""SELECT {_TOP} AS dir, count(*) AS zero_both, count(*) FILTER (zero = 'none') AS "none", count(*) FILTER (zero = 'broken') AS broken
 FROM oc WHERE class = 'zero_both' GROUP BY 1""",
     "wanted": RESOLVE + 'SELECT tg.raw AS target, count(*) AS "references" FROM tg JOIN rs ON rs.src = tg.src AND rs.raw = tg.raw WHERE target IS NULL GROUP BY 1',
@@ -226,7 +226,7 @@ bl AS (SELECT l0.* FROM l0 ANTI JOIN sv ON sv.id = l0.id)
 """
 )
 _DEFAULT = "NOT (starts_with(src, '50-diary/') OR starts_with(src, '60-archive/') OR starts_with(src, '30-reference/references/bookmarks/archive/'))"
-SQL["scan_tokens"] = SCAN + "SELECT kind, class, count(*) AS n FROM tok GROUP BY 1, 2"
+SQL["scan_tokens"] = SCAN + "SELECT src, kind, class, target, count(*) AS n FROM tok GROUP BY 1, 2, 3, 4"
 SQL["broken_links"] = SCAN + "SELECT src, kind, shown AS target, count(*) AS n FROM bl GROUP BY 1, 2, 3"
 SQL["broken_by_top_dir"] = SCAN + "SELECT CASE WHEN contains(src, '/') THEN string_split(src, '/')[1] ELSE src END AS dir, count(*) AS broken, min(src) AS first_src FROM bl GROUP BY 1"
 SQL["broken_by_reference_dir"] = (
@@ -342,14 +342,79 @@ ft AS (SELECT path, list_transform(regexp_extract_all(replace(replace(text, chr(
 )
 SQL["fragments"] = (
     FRAGMENTS
-    + f"""SELECT CASE WHEN twice THEN 'ambiguous' END AS status, CASE WHEN twice THEN false WHEN starts_with(fragment, '^') THEN list_contains(bs, fragment[2:]) ELSE list_contains(hs, {_SLUG.format("fragment")}) END AS ok, count(*) AS n
-FROM fr LEFT JOIN ft ON ft.path = target WHERE twice OR (target IS NOT NULL AND fragment IS NOT NULL) GROUP BY 1, 2"""
+    + f"""SELECT fr.src AS file, CASE WHEN twice THEN NULL ELSE target END AS target, fragment, CASE WHEN twice THEN 'ambiguous' END AS status, CASE WHEN twice THEN st.candidates END AS candidates,
+CASE WHEN twice THEN false WHEN starts_with(fragment, '^') THEN list_contains(bs, fragment[2:]) ELSE list_contains(hs, {_SLUG.format("fragment")}) END AS ok, count(*) AS n
+FROM fr LEFT JOIN ft ON ft.path = target LEFT JOIN st ON twice AND st.stem = regexp_replace(string_split(fr.raw, '/')[-1], '(.)\\.[^.]+$', '\\1')
+WHERE twice OR (target IS NOT NULL AND fragment IS NOT NULL) GROUP BY ALL"""
 )
 SQL["preflight"] = (
     FRAGMENTS
     + """, mv AS (SELECT regexp_replace(path, '\\.md$', '') AS old FROM v), nx AS (SELECT old AS name FROM mv UNION SELECT regexp_replace(string_split(old, '/')[-1], '(.)\\.[^.]+$', '\\1') FROM mv),
-hit AS (SELECT CASE WHEN twice THEN 'ambiguous' ELSE 'missing' END AS status FROM fr WHERE (twice OR target IS NULL)
+hit AS (SELECT src AS file, full_raw AS raw, CASE WHEN twice THEN 'ambiguous' ELSE 'missing' END AS status FROM fr WHERE (twice OR target IS NULL)
   AND (string_split(full_raw, '#')[1] IN (SELECT name FROM nx) OR regexp_replace(string_split(string_split(full_raw, '#')[1], '/')[-1], '(.)\\.[^.]+$', '\\1') IN (SELECT name FROM nx))),
-mu AS (SELECT trim(string_split(unnest(regexp_extract_all(t, '(^|[^!])\\[([^\\]\\n]+)\\]\\(([^)\\n]+)\\)', 3)), '#')[1], ' ') AS raw FROM cl)
-SELECT status, count(*) AS n FROM (SELECT status FROM hit UNION ALL SELECT 'unsafe' FROM mu WHERE regexp_matches(raw, '(^|/)\\.\\.(/|$)') AND regexp_replace(raw, '\\.md$', '') IN (SELECT old FROM mv)) GROUP BY 1"""
+mu AS (SELECT src AS file, trim(string_split(unnest(regexp_extract_all(t, '(^|[^!])\\[([^\\]\\n]+)\\]\\(([^)\\n]+)\\)', 3)), '#')[1], ' ') AS raw FROM cl)
+SELECT file, raw, status, count(*) AS n FROM (FROM hit UNION ALL SELECT file, raw, 'unsafe' FROM mu WHERE regexp_matches(raw, '(^|/)\\.\\.(/|$)') AND regexp_replace(raw, '\\.md$', '') IN (SELECT old FROM mv)) GROUP BY ALL"""
+)
+SQL["paragraph_places"] = (
+    SQL["paragraph_duplicates"].rsplit("p AS (SELECT path, trim(", 1)[0]
+    + f"""p AS (SELECT path, min(i) AS line, trim(string_agg(raw, chr(10) ORDER BY i), {_BLANK}) AS text FROM u WHERE stop = 0 GROUP BY path, island),
+q AS (SELECT text, count(*) AS count FROM p WHERE length(text) >= 40 GROUP BY 1 HAVING count(DISTINCT path) > 1)
+SELECT sha256(p.text) AS sha256, path, CAST(line AS INTEGER) AS line, p.text AS text, count FROM p JOIN q ON p.text = q.text"""
+)
+_LINKED = (
+    RESOLVE
+    + """, ks AS (SELECT path, list_sort(list(nbr)) AS k, count(*) AS n FROM nb GROUP BY path),
+kc AS (SELECT path, n, min(path) OVER (PARTITION BY k) AS rep FROM ks),
+rn AS (SELECT nb.path, nbr, n FROM nb JOIN kc ON nb.path = kc.path AND kc.rep = kc.path),
+sp AS (SELECT a.path AS "left", b.path AS "right", count(*) AS shared, any_value(a.n) + any_value(b.n) - count(*) AS union_size, false AS same_class
+  FROM rn a JOIN rn b ON a.nbr = b.nbr AND a.path < b.path GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.25
+  UNION ALL SELECT rep, path, n, n, true FROM kc WHERE path <> rep)
+"""
+)
+SQL["structural_links"] = _LINKED + """SELECT "left", "right", round(shared / union_size, 6) AS score, shared, union_size, 'jaccard' AS method, false AS semantic, same_class FROM sp"""
+_SCORED = """, sq AS (SELECT "left", "right", round(shared / union_size, 6) AS score, same_class FROM sp)"""
+SQL["review_links"] = _LINKED + _SCORED + SQL["review"][len(_PAIRS) :].replace('SELECT "left", "right", score,', 'SELECT "left", "right", score, same_class,').replace("FROM sp JOIN", "FROM sq JOIN")
+SQL["plan_links"] = _LINKED + SQL["plan"][len(_PAIRS) :]
+SQL["verify_plan_links"] = _LINKED + SQL["verify_plan"][len(_PAIRS) :]
+SQL["alias_collisions"] = (
+    _RAW
+    + f""", y AS (SELECT path, {_HEAD} AS m FROM v WHERE {_HAS_HEAD}),
+al AS (SELECT path, trim(unnest(string_split(regexp_extract(m, '(?m)^aliases: \\[([^\\]]*)\\]$', 1), ','))) AS alias FROM y WHERE regexp_matches(m, '(?m)^aliases: \\[[^\\]]*\\]$'))
+SELECT 'old/' || alias || '.md' AS source, (SELECT min(path) FROM v) AS target, alias, path FROM al WHERE NOT ends_with(path, (SELECT min(path) FROM v))"""
+)
+_TABLE = "(starts_with({0}, '| ') AND (contains({0}[3:], ' |') OR regexp_matches({0}, '^\\| \\s*---')))"
+SQL["fix_pipes"] = f"""
+WITH lk AS (SELECT DISTINCT link_id, src, regexp_replace(raw, '[\\r\\n]', ' ', 'g') AS raw FROM links WHERE raw IS NOT NULL AND src IS NOT NULL),
+h AS (SELECT * FROM (VALUES (1, '|', ''), (2, '||', ''), (3, '| ', ' |'), (4, '|| ', ' |'), (5, '||-', ''), (6, '| ---', ''), (7, '', '|'), (8, NULL, '|'), (9, NULL, '||')) t(k, a, b)),
+ls AS (SELECT src AS path, link_id, k, CASE WHEN a IS NULL THEN b ELSE a || raw || b END AS s FROM lk CROSS JOIN h),
+nw AS (SELECT *, CASE WHEN s = '|' THEN '' WHEN starts_with(s, '||-') THEN s[2:]
+  WHEN starts_with(s, '||') AND ({_TABLE.format("s[2:]")} OR regexp_matches(s[2:], '^\\s*---')) THEN s[2:]
+  WHEN starts_with(s, '||') THEN CASE WHEN trim(s[3:], {_BLANK}) = '' THEN '' ELSE s[3:] END
+  WHEN starts_with(s, '|') AND NOT {_TABLE.format("s")} AND NOT regexp_matches(s[2:], '^\\s*---') THEN s[2:] ELSE s END AS x FROM ls)
+SELECT path, CAST(count(*) FILTER (s <> x) AS INTEGER) AS changes, sha256(string_agg(x, chr(10) ORDER BY link_id, k) || chr(10)) AS sha256 FROM nw GROUP BY path HAVING count(*) FILTER (s <> x) > 0"""
+_MANAGED = "source_file|tags|parent|topic|decision"
+SQL["tidy_articles"] = (
+    _RAW
+    + f""", c AS (SELECT path, text, starts_with(text, '---' || chr(10)) AND strpos(text[5:], chr(10) || '---' || chr(10)) > 0 OR
+    regexp_matches(text, '^---\\n(?s:.*?)\\n---$') AS good, strpos(text[5:], chr(10) || '---') AS at FROM v),
+g AS (SELECT path, text, text[5:3 + strpos(text[5:], chr(10) || '---' || chr(10))] AS head, text[8 + strpos(text[5:], chr(10) || '---' || chr(10)) + 1:] AS rest FROM c WHERE good),
+k AS (SELECT path, list_filter(string_split(head, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*({_MANAGED})\\s*:')) AS kept, replace(regexp_replace(rest, '(?m)^-\\s*导入来源:.*(?:\\n|$)', '', 'g'), '[[index-2025|← 返回索引]]', '') AS rest FROM g)
+SELECT path, CAST(NULL AS VARCHAR) AS error, sha256(array_to_string(list_concat(['---'], kept, ['tags: [wechat-archive]', 'parent: [[index-2025]]', '---', rtrim(regexp_replace(rest, '\\n{{3,}}', chr(10) || chr(10), 'g'), {_BLANK}), '', '[[index-2025|← 返回索引]]', '']), chr(10))) AS sha256 FROM k
+UNION ALL SELECT path, 'missing YAML frontmatter', sha256(text) FROM c WHERE NOT good"""
+)
+_BACK = "`[^`\\n]*`"
+SQL["migrate_links"] = (
+    VAULT
+    + f""", mv AS (SELECT DISTINCT regexp_replace(path, '\\.md$', '') AS old FROM v),
+ls AS (SELECT path, i, l[i] AS s, regexp_matches(l[i], '^\\s*(```|~~~)') AS fence FROM (SELECT path, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM v)),
+lf AS (SELECT path, i, s, fence OR sum(CAST(fence AS INTEGER)) OVER (PARTITION BY path ORDER BY i) % 2 = 1 AS code FROM ls),
+pc AS (SELECT path, i, j, code, p[j] AS t FROM (SELECT path, i, code, p, unnest(range(1, len(p) + 1)) AS j FROM
+  (SELECT path, i, code, CASE WHEN code THEN [s] ELSE regexp_extract_all(s, '{_BACK}|!?\\[\\[[^\\]\\n]+\\]\\]|!\\[|\\[[^\\]\\n]+\\]\\([^)\\n]+\\)|[^`!\\[]+|[`!\\[]') END AS p FROM lf))),
+pb AS (SELECT path, i, j, t, CASE WHEN code THEN NULL WHEN regexp_matches(t, '^!?\\[\\[') THEN string_split(string_split(regexp_extract(t, '^!?\\[\\[([^\\]]+)\\]\\]$', 1), '|')[1], '#')[1]
+  WHEN regexp_matches(t, '^\\[.+\\]\\(') THEN regexp_replace(string_split(regexp_extract(t, '^\\[[^\\]]+\\]\\(([^)]+)\\)$', 1), '#')[1], '\\.md$', '') END AS base FROM pc),
+pn AS (SELECT path, i, j, CASE WHEN mv.old IS NULL THEN t WHEN regexp_matches(t, '^!?\\[\\[') THEN regexp_extract(t, '^!?\\[\\[') || 'moved/' || mv.old || t[strpos(t, '[[') + 2 + length(base):]
+  ELSE regexp_extract(t, '^\\[[^\\]]+\\]\\(') || 'moved/' || mv.old || coalesce(nullif('#' || array_to_string(string_split(regexp_extract(t, '^\\[[^\\]]+\\]\\(([^)]+)\\)$', 1), '#')[2:], '#'), '#'), CASE WHEN contains(regexp_extract(t, '^\\[[^\\]]+\\]\\(([^)]+)\\)$', 1), '#') THEN '#' ELSE '' END) || ')' END AS t FROM pb LEFT JOIN mv ON mv.old = base),
+jl AS (SELECT path, i, string_agg(t, '' ORDER BY j) AS s FROM pn GROUP BY path, i),
+jn AS (SELECT lf.path, string_agg(coalesce(jl.s, ''), chr(10) ORDER BY lf.i) AS text FROM lf LEFT JOIN jl ON jl.path = lf.path AND jl.i = lf.i GROUP BY lf.path)
+SELECT jn.path, sha256(jn.text) AS sha256 FROM jn JOIN v ON v.path = jn.path WHERE jn.text <> v.text"""
 )

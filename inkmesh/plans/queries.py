@@ -114,7 +114,10 @@ def orphan_summary(spark, sf_dir):
 
 @query
 def orphan_dirs(spark, sf_dir):
-    return graph.orphan_dirs(_classes(spark, sf_dir))
+    """Over the notes' own texts, without the logged links: few of these link to anything."""
+    v = vaults.Vault(_living(spark, sf_dir).where("text is not null"), _vault(spark, sf_dir).files)
+    vertices, e = v.notes.select("path"), cut(links.edges(v))
+    return graph.orphan_dirs(graph.orphan_classes(vertices, e, groups.has_any_link(v.notes)))
 
 
 @query
@@ -132,7 +135,7 @@ def resolve_status(spark, sf_dir):
 @query
 def scan_tokens(spark, sf_dir):
     each = links.scan_tokens(_vault(spark, sf_dir), ())
-    return each.groupBy("kind", "class").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("src", "kind", "class", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -310,7 +313,8 @@ def group_topk(spark, sf_dir):
 
 @query
 def fragments(spark, sf_dir):
-    return redirects.verify_fragments(_vault(spark, sf_dir)).groupBy("status", "ok").agg(F.count(F.lit(1)).alias("n"))
+    each = redirects.verify_fragments(_vault(spark, sf_dir))
+    return each.groupBy("file", "target", "fragment", "status", "candidates", "ok").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -327,7 +331,7 @@ def _moves(v: vaults.Vault) -> DataFrame:
 @query
 def preflight(spark, sf_dir):
     v = _vault(spark, sf_dir)
-    return redirects.preflight(v, _moves(v)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return redirects.preflight(v, _moves(v)).groupBy("file", "raw", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -379,13 +383,23 @@ def merge_drafts(spark, sf_dir):
 
 @query
 def alias_collisions(spark, sf_dir):
-    notes, moves = _twins(spark, sf_dir)
+    """A plan that gives every alias in use to the first note of all."""
+    notes = _living(spark, sf_dir).where("text is not null")
+    first = notes.agg(F.min("path").alias("target"))
+    moves = rewrite.aliases(notes).select(F.concat(F.lit("old/"), "alias", F.lit(".md")).alias("source")).distinct().join(F.broadcast(first))
     return rewrite.alias_collisions(moves, notes)
 
 
 @query
 def fix_pipes(spark, sf_dir):
-    return rewrite.fix_pipes(_living(spark, sf_dir)).select("path", "changes")
+    """Over the logged targets of each source, every one as a line behind stray pipes of all kinds."""
+    raw = F.regexp_replace("raw", r"[\r\n]", " ")
+    heads = F.array(*(F.concat(F.lit(h), raw, F.lit(t)) for h, t in (("|", ""), ("||", ""), ("| ", " |"), ("|| ", " |"), ("||-", ""), ("| ---", ""), ("", "|"))))
+    each = read_table(spark, sf_dir, "links").where("raw is not null and src is not null").select("link_id", F.col("src").alias("path"), heads.alias("h"))
+    blocks = each.groupBy("path").agg(F.array_sort(F.collect_set(F.struct("link_id", "h"))).alias("b"))
+    lines = F.flatten(F.transform("b", lambda x: F.concat(x["h"], F.array(F.lit("|"), F.lit("||")))))
+    notes = blocks.select("path", F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
+    return rewrite.fix_pipes(notes).select("path", "changes", F.sha2("new_text", 256).alias("sha256"))
 
 
 @query
@@ -396,7 +410,7 @@ def fix_unlinked(spark, sf_dir):
 @query
 def tidy_articles(spark, sf_dir):
     out = rewrite.tidy_articles(_living(spark, sf_dir).where("text is not null"), "2025")
-    return out.groupBy((F.col("new_text") != F.col("old_text")).alias("changed"), "error").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("path", "error", F.sha2("new_text", 256).alias("sha256"))
 
 
 @query
