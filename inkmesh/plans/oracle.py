@@ -418,3 +418,52 @@ jl AS (SELECT path, i, string_agg(t, '' ORDER BY j) AS s FROM pn GROUP BY path,
 jn AS (SELECT lf.path, string_agg(coalesce(jl.s, ''), chr(10) ORDER BY lf.i) AS text FROM lf LEFT JOIN jl ON jl.path = lf.path AND jl.i = lf.i GROUP BY lf.path)
 SELECT jn.path, sha256(jn.text) AS sha256 FROM jn JOIN v ON v.path = jn.path WHERE jn.text <> v.text"""
 )
+SQL["migration_stats"] = (
+    RESOLVE
+    + f""", mv AS (SELECT DISTINCT regexp_replace(path, '\\.md$', '') AS old FROM v),
+wr AS (SELECT path AS src, trim(string_split(trim(string_split(unnest(regexp_extract_all(text, '\\[\\[([^\\]\\n]+)\\]\\]', 1)), '|')[1], {_WS}), '#')[1], {_WS}) AS raw FROM v),
+wk AS (SELECT CASE WHEN coalesce(st.n, 0) > 1 AND NOT contains(raw, '/') THEN 'ambiguous' WHEN raw IN (SELECT old FROM mv) OR regexp_replace(string_split(raw, '/')[-1], '(.)\\.[^.]+$', '\\1') IN (SELECT old FROM mv)
+  THEN 'rewritable' ELSE 'skipped' END AS kind FROM wr LEFT JOIN st ON st.stem = regexp_replace(string_split(raw, '/')[-1], '(.)\\.[^.]+$', '\\1')),
+mu AS (SELECT path AS src, unnest(regexp_extract_all(text, '(^|[^!])\\[([^\\]\\n]+)\\]\\(([^)\\n]+)\\)', 3)) AS url FROM v),
+mr AS (SELECT src, url, trim(string_split(url, '#')[1], {_WS}) AS raw, CASE WHEN contains(url, '#') THEN url[strpos(url, '#') + 1:] ELSE '' END AS fragment FROM mu),
+mq AS (SELECT * FROM mr WHERE raw <> '' AND NOT regexp_matches(raw, '^(https?://|mailto:|#)')),
+mz AS (SELECT DISTINCT src, raw FROM mq),
+{_resolved("mz", "km", "xm")},
+ft AS (SELECT path, list_transform(regexp_extract_all(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^#+[ \\t]+([^\\n]+)$', 1), lambda h: {_SLUG.format("h")}) AS hs,
+  regexp_extract_all(text, '\\^([\\p{{L}}\\p{{N}}_-]+)', 1) AS bs FROM v),
+mk AS (SELECT CASE WHEN fragment <> '' AND target IS NOT NULL AND NOT (CASE WHEN starts_with(fragment, '^') THEN list_contains(bs, fragment[2:]) ELSE list_contains(hs, {_SLUG.format("fragment")}) END) THEN 'missing'
+  WHEN mq.raw IN (SELECT old FROM mv) OR regexp_replace(mq.raw, '\\.md$', '') IN (SELECT old FROM mv) THEN 'rewritable' ELSE 'skipped' END AS kind
+  FROM mq JOIN xm ON xm.src = mq.src AND xm.raw = mq.raw LEFT JOIN ft ON ft.path = target)
+SELECT (SELECT count(*) FROM v) AS files_scanned, count(*) FILTER (kind <> 'missing') AS links_scanned, count(*) FILTER (kind = 'rewritable') AS links_rewritable,
+count(*) FILTER (kind = 'skipped') AS links_skipped, count(*) FILTER (kind = 'ambiguous') AS ambiguous_links, count(*) FILTER (kind = 'missing') AS missing_links
+FROM (FROM wk UNION ALL FROM mk)"""
+)
+
+
+def _unlinked() -> str:
+    """Related notes of notes without wikilinks, by the same conventions."""
+    from inkmesh.operators.rewrite import RELATED_HEADING, ROOT_HUBS, THEME_HUBS
+
+    roots = ", ".join(f"'{h}'" for h in ROOT_HUBS)
+    hubs = ", ".join(f"CASE WHEN starts_with(path, '{h}/') THEN '{h}/README' END" for h in THEME_HUBS)
+    bare = "regexp_replace({0}, '\\.md$', '')"
+    return (
+        VAULT
+        + f""", d AS (SELECT path, text, string_split(path, '/')[-1] AS name, {_FOLDER.replace("src", "path")} AS dir FROM v),
+rd AS (SELECT DISTINCT dir FROM d WHERE name = 'README.md'),
+sb AS (SELECT dir, list(path ORDER BY path)[1:3] AS sib FROM d WHERE name <> 'README.md' GROUP BY dir),
+tt AS (SELECT {bare.format("path")} AS link, trim(list_filter(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))[1:60], lambda x: starts_with(x, '# '))[1][3:], {_WS}) AS title FROM v),
+bn AS (SELECT d.path, text, d.dir, {_FOLDER.replace("src", "d.dir")} AS up, list_filter(coalesce(sib, []), lambda x: x <> d.path) AS others FROM d LEFT JOIN sb ON sb.dir = d.dir WHERE name <> 'README.md' AND NOT contains(text, '[[')),
+l1 AS (SELECT path, text, list_filter([CASE WHEN dir IN (SELECT dir FROM rd) THEN CASE WHEN dir = '' THEN 'README' ELSE dir || '/README' END END,
+  CASE WHEN up IN (SELECT dir FROM rd) THEN CASE WHEN up = '' THEN 'README' ELSE up || '/README' END END, CASE WHEN string_split(path, '/')[1] IN ({roots}) THEN string_split(path, '/')[1] || '/README' END,
+  {hubs}, {bare.format("others[2]")}, {bare.format("others[1]")}], lambda x: x IS NOT NULL) AS l FROM bn),
+l2 AS (SELECT path, text, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM l1),
+l3 AS (SELECT path, text, CASE WHEN len(l) < 2 AND NOT list_contains(l, 'index') THEN list_append(l, 'index') ELSE l END AS l FROM l2),
+l4 AS (SELECT path, text, (CASE WHEN len(l) < 2 AND NOT list_contains(l, 'README') THEN list_append(l, 'README') ELSE l END)[1:3] AS l FROM l3),
+l5 AS (SELECT path, text, l[r] AS link, r FROM (SELECT path, text, l, unnest(range(1, len(l) + 1)) AS r FROM l4)),
+l6 AS (SELECT path, any_value(text) AS text, string_agg('- [[' || l5.link || '|' || coalesce(title, replace(string_split(l5.link, '/')[-1], '-', ' ')) || ']]', chr(10) ORDER BY r) AS more FROM l5 LEFT JOIN tt ON tt.link = l5.link GROUP BY path)
+SELECT path, sha256(text || CASE WHEN ends_with(text, chr(10)) THEN '' ELSE chr(10) END || CASE WHEN regexp_matches(text, '(?m)^{RELATED_HEADING}\\s*$') THEN '' ELSE chr(10) || '{RELATED_HEADING}' || chr(10) || chr(10) END || more || chr(10)) AS sha256 FROM l6"""
+    )
+
+
+SQL["fix_unlinked"] = _unlinked()
