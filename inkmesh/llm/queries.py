@@ -161,6 +161,17 @@ x AS (SELECT note_id, count(*) AS n_passages, CAST(sum(l) AS BIGINT) AS shared_c
 SELECT d.note_id, coalesce(n_passages, 0) AS n_passages, coalesce(shared_chars, 0) AS shared_chars, CAST(length(t) AS INTEGER) AS chars,
 CASE WHEN length(t) > 0 THEN coalesce(shared_chars, 0) / length(t) ELSE 0.0 END AS shared_part FROM d LEFT JOIN x ON x.note_id = d.note_id
 """
+_PASSAGES = """
+WITH o AS (SELECT note_id, any_value(content) AS t, any_value(path) AS path FROM notes WHERE note_id IS NOT NULL GROUP BY note_id),
+d AS (SELECT note_id, t, path, min(note_id) OVER (PARTITION BY t) AS rep FROM o WHERE length(t) >= 150),
+c AS (SELECT rep, any_value(t) AS t, count(*) AS copies FROM d GROUP BY rep),
+g AS (SELECT rep, i, substring(t, CAST(i AS INTEGER), 150) AS g FROM (SELECT rep, t, unnest(range(1, length(t) - 148)) AS i FROM c)),
+k AS (SELECT g FROM g JOIN c ON c.rep = g.rep GROUP BY g HAVING count(DISTINCT g.rep) > 1 OR max(copies) > 1),
+s AS (SELECT rep, i, g.g, CASE WHEN i - lag(i) OVER (PARTITION BY rep ORDER BY i) <= 150 THEN 0 ELSE 1 END AS n FROM g JOIN k ON k.g = g.g),
+u AS (SELECT rep, i, g, sum(n) OVER (PARTITION BY rep ORDER BY i) AS p FROM s),
+p AS (SELECT rep, p, min(i) - 1 AS start, max(i) + 150 - min(i) AS length FROM u GROUP BY rep, p),
+m AS (SELECT DISTINCT u.rep, u.p, u.i, x.rep AS other, x.i AS at FROM u JOIN g x ON x.g = u.g AND x.rep <> u.rep)
+"""
 _CLASSES = """, c AS (SELECT {id} AS id, min({id}) OVER (PARTITION BY f) AS rep FROM (SELECT {id}, list_sort(list({value})) AS f FROM {sets} GROUP BY {id})),
 n AS (SELECT {id}, count(*) AS n FROM {sets} GROUP BY {id}),
 r AS (SELECT x.* FROM {sets} x JOIN (SELECT DISTINCT rep FROM c) ON rep = x.{id}),
@@ -197,6 +208,16 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN bg ON dg.g = bg.g
 
 ORACLE_SQL: dict[str, str] = {
     "p1_shared_part": _SHARED,
+    "p1_passages": _PASSAGES
+    + """, h AS (SELECT rep, p, sum(copies) AS n FROM (SELECT DISTINCT rep, p, other FROM m) y JOIN (SELECT rep AS other, copies FROM c) z ON z.other = y.other GROUP BY rep, p)
+SELECT d.note_id, d.path, d.rep AS class_id, p.start, p.length, CAST(c.copies + coalesce(h.n, 0) AS BIGINT) AS n_records,
+sha256(substring(c.t, CAST(p.start + 1 AS INTEGER), CAST(p.length AS INTEGER))) AS passage
+FROM p JOIN c ON c.rep = p.rep JOIN d ON d.rep = p.rep LEFT JOIN h ON h.rep = p.rep AND h.p = p.p""",
+    "p1_holders": _PASSAGES
+    + """, w AS (SELECT rep, p, other, i, CASE WHEN i - lag(i) OVER (PARTITION BY rep, p, other ORDER BY i) <= 150 THEN 0 ELSE 1 END AS n FROM (SELECT DISTINCT rep, p, other, i FROM m)),
+q AS (SELECT rep, p, other, i, sum(n) OVER (PARTITION BY rep, p, other ORDER BY i) AS k FROM w),
+r AS (SELECT rep, p, other, min(i) - 1 AS held_start, max(i) + 150 - min(i) AS held_length FROM q GROUP BY rep, p, other, k)
+SELECT r.rep AS class_id, p.start, r.other AS other_class, held_start, held_length FROM r JOIN p ON p.rep = r.rep AND p.p = r.p""",
     "p4_groups": _GROUPS,
     "p5_links": _LINKED,
     "p7_found": _LEAKS,
