@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmesh.functions.paths import top_dir
+from inkmesh.operators.blocks import meet
 from inkmesh.session import cut, cut_round
 
 DIRECTIONS = ("both", "outgoing", "incoming")
+#: Parts of a class that are cut to its first members separately.
+PARTS = 64
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -70,6 +73,12 @@ def orphan_dirs(classes: DataFrame) -> DataFrame:
     )
 
 
+def orphan_notes(classes: DataFrame, limit: int | None = None) -> DataFrame:
+    """(path, zero) of unlinked notes in order of their paths."""
+    out = classes.where(F.col("class") == "zero_both").select("path", "zero").orderBy("path")
+    return out.limit(limit) if limit is not None else out
+
+
 def link_stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: notes, notes with outgoing links, edges."""
     d = degrees(vertices, edges)
@@ -124,18 +133,21 @@ def _ranked(df: DataFrame, by: list[str]) -> DataFrame:
     return df.orderBy(*by).withColumn("rank", F.monotonically_increasing_id())
 
 
-def context(vertices: DataFrame, edges: DataFrame, anchor: str, depth: int = 1, limit: int | None = 50) -> DataFrame:
-    return neighbors(vertices, edges, [anchor], depth, "both", limit)
+def context(vertices: DataFrame, edges: DataFrame, anchors: str | list[str], depth: int = 1, limit: int | None = 50) -> DataFrame:
+    """Neighbours both ways of one or several anchors."""
+    return neighbors(vertices, edges, [anchors] if isinstance(anchors, str) else anchors, depth, "both", limit)
 
 
 def expand(vertices: DataFrame, edges: DataFrame, results: DataFrame, depth: int = 1, direction: str = "both", limit: int | None = 50) -> DataFrame:
     """Search results with their graph neighbours.
 
     results: path, score and any other fields, which input rows keep; ``source`` is 'input'
-    unless given, 'graph' for rows the graph adds; rows outside the graph vanish. The results
-    are a query's hits: their paths are the anchors, named on the driver.
+    unless given, 'graph' for rows the graph adds; rows outside the graph vanish. Of several
+    results with one path the last counts. The results are a query's hits: their paths are the
+    anchors, named on the driver.
     """
-    given = results.join(vertices.select("path"), "path", "left_semi").dropDuplicates(["path"])
+    last = results.withColumn("_at", F.monotonically_increasing_id()).groupBy("path").agg(F.max_by(F.struct(*results.columns), "_at").alias("r"))
+    given = last.select("r.*").join(vertices.select("path"), "path", "left_semi")
     anchors = [r["path"] for r in given.select("path").collect()]
     near = neighbors(vertices, edges, sorted(anchors), depth, direction)
     score = F.col("score").cast("double") if "score" in given.columns else F.lit(None).cast("double")
@@ -170,7 +182,7 @@ def structural_classes(edges: DataFrame, threshold: float = 0.25) -> tuple[DataF
     Notes with the same neighbours are one class, known by sums of hashes, so that a hub's
     followers are not paired among themselves. Classes meet in the rarest of their neighbours
     only: two sets above the threshold share one of their n - ceil(threshold * n) + 1 rarest, and
-    a hub is the last of them. a < b are the first notes of all classes above the threshold.
+    a hub is the last of them, among the rarest of small sets only. a < b are the first notes of all classes above the threshold.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must lie between 0 and 1")
@@ -186,10 +198,10 @@ def structural_classes(edges: DataFrame, threshold: float = 0.25) -> tuple[DataF
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "nbr"))
     head = tokens.join(df, "nbr").withColumn("r", rank)
     head = head.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1) & (F.col("df") > 1))
-    a = head.select("nbr", F.col("rep").alias("a"), F.col("n").alias("na"))
-    b = head.select("nbr", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    ratio = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9
-    met = a.join(b, "nbr").where((F.col("a") < F.col("b")) & ratio).select("a", "b", "na", "nb").distinct()
+    # Sets that share a hub and little else can be similar too, so a hub's classes meet by blocks.
+    ratio = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(threshold) - 1e-9
+    met = meet(head, "nbr", "df", "rep", ["n"], ratio)
+    met = met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb")).distinct()
     ta, tb = tokens.select(F.col("rep").alias("a"), "nbr"), tokens.select(F.col("rep").alias("b"), "nbr")
     i = met.join(ta, "a").join(tb, ["b", "nbr"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     union = F.col("na") + F.col("nb") - F.col("i")
@@ -219,8 +231,10 @@ def structural_pairs(edges: DataFrame, threshold: float = 0.25, limit: int | Non
     """
     across, member = structural_classes(edges, threshold)
     if limit is not None:
-        first = F.row_number().over(Window.partitionBy("rep").orderBy("path"))
-        member = member.withColumn("r", first).where(F.col("r") <= limit + 1).drop("r")
+        # First within parts of a class, then of these few: no class is sorted by one task.
+        part = F.pmod(F.xxhash64("path"), F.lit(PARTS))
+        for w in (Window.partitionBy("rep", part), Window.partitionBy("rep")):
+            member = member.withColumn("r", F.row_number().over(w.orderBy("path"))).where(F.col("r") <= limit + 1).drop("r")
     within = member.where("members > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("n").alias("shared"), F.col("n").alias("union_size")).distinct()
     x = across.unionByName(within).join(member.select(F.col("rep").alias("a"), F.col("path").alias("p")), "a")
     y = x.join(member.select(F.col("rep").alias("b"), F.col("path").alias("q")), "b")

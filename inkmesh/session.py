@@ -26,6 +26,7 @@ def get_spark(app: str = "inkmesh", cpus: int | str | None = None) -> SparkSessi
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("INKMESH_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -33,9 +34,11 @@ def get_spark(app: str = "inkmesh", cpus: int | str | None = None) -> SparkSessi
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the session names; a local one only where none is set."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if spark.sparkContext.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and (spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="inkmesh-ckpt-"))
 
 
@@ -51,9 +54,12 @@ def cut_round(df: DataFrame) -> DataFrame:
     A checkpoint keeps its plan's estimate, and joins multiply estimates, so that the number
     itself would grow exponentially with the rounds.
     """
-    spark = df.sparkSession
-    kept = cut(df)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+    spark, kept = df.sparkSession, cut(df)
+    try:
+        plan = kept._jdf
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.queryExecution().toRdd(), plan.schema(), False), spark)
+    except (AttributeError, TypeError):  # no such call in this Spark: the estimate stays, the rows are the same
+        return kept
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -153,3 +153,32 @@ def test_communities_settle(spark):
 def test_empty_graph(spark):
     v, e = frames(spark, [])
     assert graph.hubs(v, e).count() == graph.structural_pairs(e).count() == graph.communities(v, e).count() == 0
+
+
+def test_hub_of_a_third_of_all_notes(spark, monkeypatch):
+    """A hub in a third of all neighbourhoods, its classes met by blocks: the pairs equal those of a model."""
+    from itertools import combinations
+
+    from inkmesh.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 5)
+    rows = [(f"n{i}", "hub") for i in range(30)] + [(f"n{i}", f"t{i % 7}") for i in range(60)] + [(f"n{i}", f"u{i % 4}") for i in range(0, 90, 2)]
+    e = spark.createDataFrame(rows, "src string, dst string")
+    near: dict = {}
+    for a, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {(a, b) for a, b in combinations(sorted(near), 2) if len(near[a] & near[b]) / len(near[a] | near[b]) >= 0.25}
+    got = graph.structural_pairs(e, 0.25, None).select("left", "right").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    first = [tuple(r) for r in graph.structural_pairs(e, 0.25, 40).select("left", "right").collect()]
+    assert first == [tuple(r) for r in graph.structural_pairs(e, 0.25, None).select("left", "right").limit(40).collect()]
+
+
+def test_context_of_several_anchors_and_repeated_results(spark):
+    v = spark.createDataFrame([(x,) for x in "abcdef"], "path string")
+    e = spark.createDataFrame([("a", "b"), ("c", "d"), ("e", "f")], "src string, dst string")
+    assert [tuple(r) for r in graph.context(v, e, ["a", "c"]).collect()] == [("a", 0, "anchor"), ("c", 0, "anchor"), ("b", 1, "outgoing"), ("d", 1, "outgoing")]
+    assert graph.context(v, e, "a").count() == 2
+    hits = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 2.0)], "path string, score double").coalesce(1)
+    assert graph.expand(v, e, hits).where("path = 'a'").select("anchor_score").first()[0] == 2.0
