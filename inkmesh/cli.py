@@ -38,16 +38,16 @@ def _parser() -> argparse.ArgumentParser:
     write = [opt("--write", action="store_true"), opt("--confirm", action="store_true")]
     way = opt("--direction", choices=graph.DIRECTIONS, default="both")
     add("scan", opt("--exclude", action="append"), opt("--out"), opt("--title", default="Broken links"), opt("--json", action="store_true"), fmt=False)
-    add("orphan", opt("--json", action="store_true"), fmt=False)
+    add("orphan", opt("--json", action="store_true"), n("--limit", None), fmt=False)
     add("fix-zero", *write)
     add("fix-pipe", *write)
     add("sync", opt("--index"), *write)
     add("convert-links", opt("index"), opt("mapping"), *write)
     add("tidy", opt("articles"), opt("year"), opt("--coverage"), *write)
-    add("graph", opt("-m", "--mode", choices=("islands", "hubs", "wanted", "communities", "edges"), default="hubs"), n("--top", 20))
+    add("graph", opt("-m", "--mode", choices=("islands", "hubs", "wanted", "communities", "all"), default="all"), n("--top", 20), n("--min-links", 0), opt("--edges", action="store_true"))
     add("neighbors", opt("anchors", nargs="+"), n("--depth", 1), way, n("--limit", None))
     add("expand", n("--depth", 1), way, n("--limit", 50))
-    add("context", opt("anchor"), n("--depth", 1), n("--limit", 50))
+    add("context", opt("anchors", nargs="+"), n("--depth", 1), n("--limit", 50))
     add("similar", opt("note"), n("--top", 10))
     add("dedupe-scan", opt("--threshold", type=float, default=0.25), n("--limit", 100))
     add("dedupe-exact", opt("--include-frontmatter", action="store_true"), n("--limit", None))
@@ -66,18 +66,39 @@ def _parser() -> argparse.ArgumentParser:
     add("stats")
     add("plugins")
     add("analyze", opt("name"))
+    add("browse", fmt=False)
     return top
 
 
+def _allowed(a: argparse.Namespace) -> bool:
+    """Whether to write: asked for, confirmed, and with a person at the terminal."""
+    if getattr(a, "write", False) and a.confirm and not sys.stdin.isatty():
+        raise ValueError("refusing to modify files without an interactive terminal")
+    return getattr(a, "write", False)
+
+
 def _write(root: Path, changes: DataFrame, a: argparse.Namespace) -> list[dict]:
     """Diffs of changes; written too with --write and --confirm."""
     changes = changes.cache()
     rows = list(sinks.rows_of(rewrite.diff(changes).orderBy("path")))
-    if a.write:
+    if _allowed(a):
         apply.write_changes(root, changes, a.confirm)
     return rows
 
 
+def browse(v: vaults.Vault, edges: DataFrame, read=input, show=print) -> None:
+    """A prompt over the graph: a note's path shows its neighbours, /text finds paths, an empty line ends."""
+    paths = v.notes.select("path")
+    while line := read("note, /part of a path, or nothing to leave: ").strip():
+        if line.startswith("/"):
+            hits = paths.where(F.contains(F.lower("path"), F.lit(line[1:].lower()))).orderBy("path").limit(20)
+        else:
+            hits = graph.context(paths, edges, line)
+        rows = [list(r) for r in hits.collect()]
+        for r in rows or [["nothing found"]]:
+            show("\t".join(map(str, r)))
+
+
 def run(a: argparse.Namespace) -> tuple[object, int]:
     """(rows or text, exit code) of one command."""
     root = vaults.vault_root(a.root)
@@ -88,12 +109,12 @@ def run(a: argparse.Namespace) -> tuple[object, int]:
     ship(spark)
     if a.command == "graph-colors":
         colors = color.palette(pick(a.theme, cfg.theme, "default"))
-        rows = list(sinks.rows_of(color.contrast_checks(spark, colors, pick(a.min_contrast, cfg.min_contrast, 2.0))))
+        report = color.theme_report(spark, colors, pick(a.min_contrast, cfg.min_contrast, 2.0))
         if a.css:
             sinks.write_report(a.css, color.render_css(colors))
-        return rows, int(not all(r["ok"] for r in rows))
+        return [report], int(not report["ok"])
     if a.command == "dedupe-rollback":
-        rows = apply.rollback(root, a.manifest, a.write, a.confirm)
+        rows = apply.rollback(root, a.manifest, _allowed(a), a.confirm)
         return rows, int(not all(r["ok"] for r in rows))
     if a.command == "dedupe-verify-manifest":
         rows = apply.verify_manifest(root, a.manifest)
@@ -107,7 +128,7 @@ def run(a: argparse.Namespace) -> tuple[object, int]:
     if a.command == "dedupe-apply":
         plan = list(sinks.rows_of(records.read_records(spark, a.plan)))
         try:
-            return [apply.apply_plan(spark, root, plan, a.write, a.confirm, a.source_after, a.require_clean_git)], 0
+            return [apply.apply_plan(spark, root, plan, _allowed(a), a.confirm, a.source_after, a.require_clean_git)], 0
         except apply.PreflightError as e:
             return e.issues, 1
     if a.command in ("convert-links", "tidy"):
@@ -127,12 +148,14 @@ def run(a: argparse.Namespace) -> tuple[object, int]:
     paths = v.notes.select("path")
     if a.command == "scan":
         exclude = tuple(a.exclude) if a.exclude else None
+        broken = links.broken_links(v, exclude).cache()
         summary = links.scan_summary(v, exclude).first().asDict()
         if a.json:
-            return [summary], 0
-        lists = list(sinks.rows_of(sinks.link_lists(links.broken_links(v, exclude))))
-        dirs = list(sinks.rows_of(links.broken_by_dir(v, exclude).orderBy(F.col("broken").desc(), "first_src")))
-        text = sinks.scan_report(summary, dirs, lists, a.title, vaults.SCAN_EXCLUDES if exclude is None else exclude)
+            tops = lambda under=None: [list(r) for r in links.top_dirs(broken, under).collect()]
+            return [summary | {"top": tops(), "subtop_30_reference": tops("30-reference/")}], 0
+        lists = list(sinks.rows_of(sinks.link_lists(broken)))
+        dirs, second = (list(sinks.rows_of(links.top_dirs(broken, under, None))) for under in (None, "30-reference/"))
+        text = sinks.scan_report(summary, dirs, second, lists, a.title, vaults.SCAN_EXCLUDES if exclude is None else exclude)
         if a.out:
             sinks.write_report(a.out, text)
         return text, 0
@@ -162,19 +185,26 @@ def run(a: argparse.Namespace) -> tuple[object, int]:
     edges = links.edges(v).cache()
     if a.command == "orphan":
         classes = graph.orphan_classes(paths, edges, groups.has_any_link(v.notes)).cache()
-        return [*sinks.rows_of(graph.orphan_summary(classes)), *sinks.rows_of(graph.orphan_dirs(classes))], 0
+        often = graph.orphan_dirs(classes).where("zero_both >= 5").orderBy(F.col("zero_both").desc(), "dir")
+        return [*sinks.rows_of(graph.orphan_summary(classes)), *sinks.rows_of(often), *sinks.rows_of(graph.orphan_notes(classes, a.limit))], 0
+    if a.command == "browse":
+        browse(v, edges)
+        return [], 0
     by_mode = {
-        "islands": lambda: graph.islands(paths, edges),
+        "islands": lambda: graph.islands(paths, edges, a.min_links),
         "hubs": lambda: graph.hubs(paths, edges, a.top),
         "wanted": lambda: links.unresolved(v).orderBy(F.col("references").desc(), "target").limit(a.top),
         "communities": lambda: graph.community_report(graph.communities(paths, edges)),
-        "edges": lambda: edges.orderBy("src", "dst").limit(100),
     }
+    if a.command == "graph":
+        shown = ["hubs", "islands", "wanted", "communities"] if a.mode == "all" else [a.mode]
+        rows = [{**r, **({"section": m} if a.mode == "all" else {})} for m in shown for r in sinks.rows_of(by_mode[m]())]
+        first = edges.orderBy("src", "dst").limit(100) if a.edges else None
+        return [*rows, *(sinks.rows_of(first) if first is not None else [])], 0
     by_command = {
-        "graph": lambda: by_mode[a.mode](),
         "neighbors": lambda: graph.neighbors(paths, edges, a.anchors, a.depth, a.direction, a.limit),
         "expand": lambda: graph.expand(paths, edges, spark.createDataFrame(records.parse_records(sys.stdin.read())), a.depth, a.direction, a.limit),
-        "context": lambda: graph.context(paths, edges, a.anchor, a.depth, a.limit),
+        "context": lambda: graph.context(paths, edges, a.anchors, a.depth, a.limit),
         "similar": lambda: graph.similar(paths, edges, a.note, a.top),
         "dedupe-scan": lambda: graph.structural_pairs(edges, a.threshold, a.limit),
         "dedupe-review": lambda: dupes.review(records.read_records(spark, a.candidates), v.notes, paths, edges),

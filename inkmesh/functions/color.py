@@ -105,12 +105,21 @@ def contrast_checks(spark: SparkSession, colors: Mapping[str, str], minimum: flo
     return out.select("kind", "first", "second", "ratio", (F.col("ratio") >= float(minimum)).alias("ok"))
 
 
+def theme_report(spark: SparkSession, colors: Mapping[str, str], minimum: float = 2.0) -> dict:
+    """One object: the minimum, whether all pairs reach it, and the pairs that were checked and that may conflict."""
+    rows = [r.asDict() for r in contrast_checks(spark, colors, minimum).collect()]
+    part = lambda kind: [{k: v for k, v in r.items() if k != "kind"} for r in rows if r["kind"] == kind]
+    return {"minimum_contrast": minimum, "ok": all(r["ok"] for r in rows), "checks": part("check"), "conflicts": part("conflict")}
+
+
 def render_css(colors: Mapping[str, str]) -> str:
     """Style sheet with one block for each mode."""
     check_colors(colors, set(PALETTE))
     names = {"node": "fill", "line": "line", "text": "text", "unresolved": "fill-unresolved", "tag": "fill-tag", "attachment": "fill-attachment", "highlight": "fill-highlight"}
     blocks = []
     for mode in ("dark", "light"):
-        rules = [f".theme-{mode} .graph-view.color-{css} {{ color: {colors[f'{mode}_{key}']}; }}" for key, css in names.items()]
+        own = lambda css: f".theme-{mode} .graph-view.color-{css}"  # noqa: E731, B023
+        rules = [f"{own(css)} {{ color: {colors[f'{mode}_{key}']}; }}" for key, css in names.items()]
+        rules.append(f"{own('line-highlight')} {{ color: {colors[f'{mode}_highlight']}; }}")
         blocks.append("\n".join(rules))
     return "\n\n".join(blocks) + "\n"

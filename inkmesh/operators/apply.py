@@ -11,6 +11,7 @@ import json
 import os
 import subprocess
 import tempfile
+from collections.abc import Callable
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -18,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmesh.operators import redirects, rewrite
+from inkmesh.session import cut
 from inkmesh.sources import vault as vaults
 
-SCHEMA = "inkmesh.apply/v1"
+SCHEMA, VERSION = "inkmesh.apply/v1", "0.2.0"
 #: Manifests of other tools with the same fields can be verified and rolled back too.
 READABLE = "apply/v1"
 BACKUPS, TRASH = ".inkmesh-backup", ".trash"
@@ -63,17 +65,30 @@ def safe_path(root: Path, path: str) -> Path:
     return full
 
 
-def _clean_worktree(root: Path) -> bool:
-    return not subprocess.check_output(["git", "-C", str(root), "status", "--porcelain"], text=True).strip()
+def _git_status(root: Path) -> str:
+    """Short status of the worktree, empty where it is clean or no repository."""
+    if not (root / ".git").exists():
+        return ""
+    return subprocess.check_output(["git", "-C", str(root), "status", "--porcelain"], text=True).strip()
 
 
-def mapping_of(spark: SparkSession, plan: list[dict]) -> DataFrame:
-    """(old, new) of a plan's moves, with and without suffix."""
+def mapping_of(spark: SparkSession, plan: list[dict], vault: vaults.Vault | None = None) -> DataFrame:
+    """(old, new) of a plan's moves, with and without suffix.
+
+    With a vault the bare name of a source is one too, where no other note has that name, so that
+    links by name follow a note in a folder.
+    """
     rows = {}
     for item in plan:
         s, t = item["source"], item["target"].removesuffix(".md")
         rows |= {s: t, s.removesuffix(".md"): t}
-    return spark.createDataFrame(list(rows.items()), "old string, new string")
+    known = spark.createDataFrame(list(rows.items()), "old string, new string")
+    if vault is None:
+        return known
+    moves = spark.createDataFrame([(i["source"], i["target"].removesuffix(".md")) for i in plan], "path string, new string")
+    alone = vault.stems.where("n = 1").select(F.col("winner").alias("path"), F.col("stem").alias("old"))
+    named = moves.join(alone, "path").select("old", "new")
+    return known.unionByName(named.join(known.select("old"), "old", "left_anti"))
 
 
 def _checked(root: Path, plan: list[dict]) -> None:
@@ -117,12 +132,13 @@ def apply_plan(
         raise ValueError(f"source_after must be one of {AFTER}")
     if write and not confirm:
         raise ValueError("writing needs confirm=True")
-    if write and require_clean_git and not _clean_worktree(root):
+    if write and require_clean_git and _git_status(root):
         raise ValueError("the git worktree has uncommitted changes")
     if not plan:
         return {"write": write, "changes": [], "stats": {}, "manifest": None, "source_deleted": False}
-    mapping = mapping_of(spark, plan)
-    vault = vaults.from_git(spark, root).cache() if (root / ".git").exists() else vaults.from_disk(spark, root).cache()
+    status = _git_status(root)
+    vault = _vault(spark, root).cache()
+    mapping = cut(mapping_of(spark, plan, vault))
     issues = [r.asDict() for r in redirects.preflight(vault, mapping).collect()]
     if issues:
         raise PreflightError(issues)
@@ -130,26 +146,53 @@ def apply_plan(
     rows = spark.createDataFrame([(i["source"], i["target"]) for i in plan], "source string, target string")
     stats = redirects.migration_stats(vault, mapping).first().asDict()
     changes = {r["path"]: (r["old_text"], r["new_text"]) for r in planned_changes(vault, rows, mapping, source_after).collect()}
-    for item in plan:
-        if item.get("preserve_alias"):
-            path, alias = item["target"], Path(item["source"]).stem
-            old = changes[path][0] if path in changes else (root / path).read_text("utf-8")
-            new = rewrite.alias_text(changes[path][1] if path in changes else old, alias)
-            taken = rewrite.alias_collisions(rows.where(F.col("target") == path), vault.notes).select("path").limit(1).collect()
-            if taken:
-                raise ValueError(f"alias {alias!r} is already used by {taken[0]['path']}")
-            if new != old:
-                changes[path] = (old, new)
+    named = [(i["source"], i["target"]) for i in plan if i.get("preserve_alias")]
+    if named:
+        kept = spark.createDataFrame(named, "source string, target string")
+        taken = rewrite.alias_collisions(kept, vault.notes).orderBy("source", "path").first()
+        if taken:
+            raise ValueError(f"alias {taken['alias']!r} is already used by {taken['path']}")
+    for source, path in named:
+        old = changes[path][0] if path in changes else (root / path).read_text("utf-8")
+        new = rewrite.alias_text(changes[path][1] if path in changes else old, Path(source).stem)
+        if new != old:
+            changes[path] = (old, new)
     report = {"write": write, "stats": stats, "source_deleted": False, "manifest": None}
     frame = spark.createDataFrame([(p, a, b) for p, (a, b) in changes.items()], "path string, old_text string, new_text string")
     report["changes"] = [r.asDict() for r in rewrite.diff(frame).orderBy("path").collect()]
+    report["items"] = [{**i, "status": "applied" if write else "dry-run", "source_after": source_after, "source_deleted": False} for i in plan]
     if write:
-        report["manifest"] = str(commit(root, {p: new for p, (_, new) in changes.items()}, [i["source"] for i in plan] if source_after == "trash" else [], stats))
+        lost = _lost_fragments(vault)
+
+        def check() -> None:
+            more = _lost_fragments(_vault(spark, root)) - lost
+            if more:
+                raise OSError(f"fragments lost: {', '.join(f'{file} #{fragment}' for file, fragment in sorted(more))}")
+
+        facts = {"git_status_before": status, "preflight": {"status": "passed", "issues": []}, "reports": report["items"]}
+        gone = [i["source"] for i in plan] if source_after == "trash" else []
+        report["manifest"] = str(commit(root, {p: new for p, (_, new) in changes.items()}, gone, stats, facts, check))
     return report
 
 
-def commit(root: Path, texts: dict[str, str], trash: list[str], stats: dict) -> Path:
-    """Write all texts and move trashed files, or nothing; returns the manifest."""
+def _vault(spark: SparkSession, root: Path) -> vaults.Vault:
+    return vaults.from_git(spark, root) if (root / ".git").exists() else vaults.from_disk(spark, root)
+
+
+def _lost_fragments(vault: vaults.Vault) -> set[tuple[str, str]]:
+    """(file, fragment) of links whose fragment is not there: a vault's faults, listed on the driver."""
+    rows = redirects.verify_fragments(vault).where("not ok and fragment is not null").select("file", "fragment").distinct().collect()
+    return {(r["file"], r["fragment"]) for r in rows}
+
+
+def commit(
+    root: Path, texts: dict[str, str], trash: list[str], stats: dict, facts: dict | None = None, check: Callable[[], None] | None = None
+) -> Path:
+    """Write all texts and move trashed files, or nothing; returns the manifest.
+
+    ``facts`` are further fields of the manifest; ``check`` looks at the written vault and undoes
+    the commit by raising.
+    """
     stamp = datetime.now(UTC)
     folder = root / BACKUPS / stamp.strftime("%Y%m%dT%H%M%S%f")
     touched = sorted({*texts, *trash})
@@ -169,8 +212,11 @@ def commit(root: Path, texts: dict[str, str], trash: list[str], stats: dict) ->
         wrong = [f["path"] for f in files if digest(root / f["path"]) != f["after_sha256"]]
         if wrong:
             raise OSError(f"verification failed: {', '.join(wrong)}")
+        if check:
+            check()
         manifest = folder / "manifest.json"
-        data = {"schema": SCHEMA, "created_at": stamp.isoformat(), "migration_stats": stats, "files": files}
+        head = {"schema": SCHEMA, "tool_version": VERSION, "created_at": stamp.isoformat(), "migration_stats": stats}
+        data = {**head, **(facts or {}), "files": files}
         write_atomic(manifest, json.dumps(data, ensure_ascii=False, indent=2).encode())
     except BaseException:
         for f in reversed(files):

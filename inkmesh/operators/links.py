@@ -167,6 +167,15 @@ def broken_by_dir(vault: Vault, exclude: tuple[str, ...] | None = None, under: s
     return lost.groupBy(key.alias("dir")).agg(F.count(F.lit(1)).alias("broken"), F.min("src").alias("first_src"))
 
 
+def top_dirs(broken: DataFrame, under: str | None = None, n: int | None = 10) -> DataFrame:
+    """(dir, broken) of the first folders by broken links (src), or of second-level ones below ``under``; ties by path."""
+    rows = broken.where(F.col("src").startswith(under)) if under else broken
+    key = F.substring_index("src", "/", 2) if under else top_dir(F.col("src"), F.col("src"))
+    counts = rows.groupBy(key.alias("dir")).agg(F.count(F.lit(1)).alias("broken"), F.min("src").alias("first"))
+    out = counts.orderBy(F.col("broken").desc(), "first").select("dir", "broken")
+    return out.limit(n) if n is not None else out
+
+
 def broken_by_file(vault: Vault, exclude: tuple[str, ...] | None = None) -> DataFrame:
     return broken_links(vault, exclude).groupBy("src").agg(F.count(F.lit(1)).alias("broken"))
 

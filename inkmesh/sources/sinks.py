@@ -78,16 +78,19 @@ def link_lists(broken: DataFrame, most: int = DETAIL_LINKS) -> DataFrame:
     return lists.select("src", "n", F.transform(F.slice("l", 1, most), lambda x: F.concat(x["kind"], F.lit(": "), x["target"])).alias("shown"))
 
 
-def scan_report(summary: dict, by_dir: list[dict], lists: Iterable[dict], title: str, exclude: Iterable[str]) -> str:
-    """Markdown report of broken links; names the prefixes that were really left out."""
+def scan_report(summary: dict, by_dir: list[dict], by_second: list[dict], lists: Iterable[dict], title: str, exclude: Iterable[str]) -> str:
+    """Markdown report of broken links; names the prefixes that were really left out and says where a list goes on."""
     lists = sorted(lists, key=lambda r: r["src"])
     urgent = [r for r in lists if r["src"] in ("index.md", "30-reference/README.md") or r["src"].startswith(("20-areas/", "40-notes/"))]
     out = [f"# {title}", "", "## Overview", "", *(f"- {k}: {v}" for k, v in summary.items()), f"- left out: {', '.join(exclude) or 'nothing'}", ""]
     out += ["## By folder", "", markdown_table(by_dir, ["dir", "broken"])]
+    out += ["## Below 30-reference", "", markdown_table(by_second, ["dir", "broken"])]
     for name, part, most in (("Priority", urgent, PRIORITY_LINKS), ("All files", lists, DETAIL_LINKS)):
         out += [f"## {name}", ""]
         for r in part:
-            out += [f"### {r['src']} ({r['n']})", "", *(f"- `{x}`" for x in r["shown"][:most]), ""]
+            shown = r["shown"][:most]
+            more = [f"- and {r['n'] - len(shown)} more"] if len(shown) < r["n"] else []
+            out += [f"### {r['src']} ({r['n']})", "", *(f"- `{x}`" for x in shown), *more, ""]
     return "\n".join(out)
 
 

@@ -8,7 +8,7 @@ import subprocess
 import pytest
 
 from inkmesh import analyzers, cli, config
-from inkmesh.operators import apply, rewrite
+from inkmesh.operators import apply, links, rewrite
 from inkmesh.sources import records, sinks
 from inkmesh.sources import vault as vaults
 
@@ -273,3 +273,56 @@ def test_data_source(spark, repo):
     (repo / "new.md").write_bytes(b"x\xff")
     disk = spark.read.format("vault").option("files", "disk").option("prefix", "new").load(str(repo))
     assert [tuple(r) for r in disk.collect()] == [("new.md", "x", bytearray(b"x\xff"))]
+
+
+def test_links_by_name_follow_a_nested_source(spark, repo):
+    (repo / "by.md").write_text("[[old]] and [[old#t|x]]\n")
+    subprocess.run(["git", "-C", str(repo), "add", "-A"], check=True)
+    report = apply.apply_plan(spark, repo, PLAN, write=True, confirm=True, source_after="trash")
+    assert texts(repo)["by.md"] == "[[b/new]] and [[b/new#t|x]]\n"
+    manifest = apply.read_manifest(report["manifest"])
+    assert manifest["tool_version"] and "by.md" in manifest["git_status_before"] and manifest["preflight"] == {"status": "passed", "issues": []}
+    assert [(r["source"], r["status"], r["source_after"]) for r in manifest["reports"]] == [("a/old.md", "applied", "trash")]
+
+
+def test_lost_fragment_undoes_a_commit(spark, repo):
+    (repo / "a/old.md").write_text("---\nt: 1\n---\n# Head\nold text\n")
+    (repo / "to.md").write_text("[[a/old#Head]]\n")
+    subprocess.run(["git", "-C", str(repo), "add", "-A"], check=True)
+    before = texts(repo)
+    with pytest.raises(OSError, match="fragments lost: to.md #Head"):
+        apply.apply_plan(spark, repo, PLAN, write=True, confirm=True)
+    assert texts(repo) == before
+
+
+def test_writing_needs_a_terminal(spark, repo, capsys, monkeypatch):
+    (repo / "p.md").write_text("||- x\n[[in]]\n")
+    subprocess.run(["git", "-C", str(repo), "add", "-A"], check=True)
+    call = lambda: cli.main(["--root", str(repo), "fix-pipe", "--write", "--confirm"])
+    monkeypatch.setattr("sys.stdin.isatty", lambda: False, raising=False)
+    assert call() == 1 and "terminal" in capsys.readouterr().err and "||-" in (repo / "p.md").read_text()
+    monkeypatch.setattr("sys.stdin.isatty", lambda: True, raising=False)
+    assert call() == 0 and (repo / "p.md").read_text().startswith("|- x")
+
+
+def test_reports_of_the_command_line(spark, repo, capsys):
+    (repo / "30-reference/z").mkdir(parents=True)
+    (repo / "30-reference/z/n.md").write_text("".join(f"[[gone{k}]]\n" for k in range(130)))
+    subprocess.run(["git", "-C", str(repo), "add", "-A"], check=True)
+
+    def call(*args):
+        code = cli.main(["--root", str(repo), *args])
+        return code, capsys.readouterr().out
+
+    scan = json.loads(call("scan", "--json")[1])[0]
+    assert scan["top"] == [["30-reference", 130]] and scan["subtop_30_reference"] == [["30-reference/z", 130]]
+    text = call("scan")[1]
+    assert "## Below 30-reference" in text and "- and 10 more" in text
+    rows = [json.loads(s) for s in call("graph", "--edges", "--format", "jsonl")[1].splitlines()]
+    assert {r.get("section") for r in rows} == {"hubs", "islands", "wanted", "communities", None}
+    theme = json.loads(call("graph-colors", "--format", "jsonl")[1])
+    assert set(theme) == {"minimum_contrast", "ok", "checks", "conflicts"} and theme["ok"] == all(r["ok"] for r in theme["checks"] + theme["conflicts"])
+    v = vaults.from_git(spark, repo)
+    said, lines = [], iter(["/OLD", "in.md", "no such note", ""])
+    cli.browse(v, links.edges(v), lambda _: next(lines), said.append)
+    assert said[0] == "a/old.md" and "in.md\t0\tanchor" in said and said[-1] == "nothing found"
