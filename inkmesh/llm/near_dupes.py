@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import expand, hamming, max_difference, meet
+from inkmesh.llm.common import expand, hamming, max_difference
+from inkmesh.operators.blocks import meet
 from inkmesh.session import cut, cut_round, skew_join
 
 HOT, SLACK, WORDS = 64, 1.5, 8

@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import expand, hamming, max_difference, meet, parity_sketch
+from inkmesh.llm.common import expand, hamming, max_difference, parity_sketch
+from inkmesh.operators.blocks import meet
 from inkmesh.session import cut, skew_join
 
 TREES, BRANCH, LEAF, MAX_DEPTH, WORDS = 4, 3.0, 256, 6, 4

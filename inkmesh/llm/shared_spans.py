@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import across, expand, meet, within
+from inkmesh.llm.common import across, expand, within
+from inkmesh.operators.blocks import meet
 from inkmesh.session import cut, skew_join
 
 GRAM, HOT = 100, 64
