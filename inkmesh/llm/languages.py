@@ -11,12 +11,14 @@ The n-gram model is fitted on a bounded sample: about SAMPLE documents for each
 by a hash of their id among those whose label names it and whose text is not empty, and of each
 the SAMPLE_CUES cues of least hash from its whole length (pieces of at most CUE_CHARS characters,
 where a cue is longer). As labels err, the sample's cues are re-labelled by the model itself
-ROUNDS times. The same sample shows what adverts and credits look like: short cues that recur
+ROUNDS times. Cues that are UTF-8 read in a code page of one byte are repaired first, as their words
+would count several times. The same sample shows what adverts and credits look like: short cues that recur
 under unrelated titles, each time with another name. All documents are then read whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import re
 import zlib
@@ -226,6 +228,7 @@ class Reader:
         at, sizes, own = [], [], []
         rows = self.rows
         for k, cue in enumerate(cues(text)):
+            cue = repaired(cue)
             w = WORD.findall(cue.lower())
             if w and not self.model.adverts.has(cue, w):
                 at.append(k)
@@ -241,10 +244,42 @@ class Reader:
         return at, np.add.reduceat(self.table[idx], starts, axis=0), np.array(sizes)
 
 
+def _raw_byte(e: UnicodeError) -> tuple[bytes, int]:
+    """Bytes that a code page leaves out stand for themselves."""
+    if isinstance(e, UnicodeEncodeError) and all(0x80 <= ord(c) < 0xA0 for c in e.object[e.start : e.end]):
+        return bytes(map(ord, e.object[e.start : e.end])), e.end
+    raise e
+
+
+codecs.register_error("inkmesh.raw_byte", _raw_byte)
+
+
+def repaired(cue: str) -> str:
+    """A cue with those lines decoded anew that are UTF-8 read in a code page of one byte.
+
+    Such lines hold two or three characters for a letter, punctuation among them, so their words
+    would count several times. Text in any language is no valid UTF-8 in these code pages. A
+    replacement character can only be the one byte that the Cyrillic page lacks.
+    """
+    if cue.isascii():
+        return cue
+    lines = cue.split("\n")
+    for k, s in enumerate(lines):
+        if s.isascii():
+            continue
+        for page, lost in (("cp1252", "\ufffd"), ("cp1251", "\x98")):
+            try:
+                lines[k] = s.replace("\ufffd", lost).encode(page, "inkmesh.raw_byte").decode("utf-8")
+                break
+            except UnicodeError:
+                continue
+    return "\n".join(lines)
+
+
 def drawn_cues(text: str, most: int = SAMPLE_CUES) -> list[str]:
     """At most ``most`` cues of a text, those of least hash, in order."""
     pieces = []
-    for c in cues(text):
+    for c in map(repaired, cues(text)):
         pieces += [c] if len(c) <= CUE_CHARS else re.findall(rf"\S.{{0,{CUE_CHARS - 1}}}(?!\S)|\S{{1,{CUE_CHARS}}}", c, re.DOTALL)
     if len(pieces) <= most:
         return pieces

@@ -147,6 +147,15 @@ def test_adverts_are_learned():
     assert languages.learn_adverts([]) == languages.Adverts()
 
 
+def test_wrong_encodings_are_repaired():
+    ru, it = "И он знает этот дом.\nРусский язык Ёж", "Lei portò la città è già lì"
+    for text, page in ((ru, "cp1251"), (it, "cp1252"), (it, "latin-1"), (ru, "latin-1")):
+        assert languages.repaired(text.encode().decode(page, "replace")) == text
+    for text in (ru, it, "plain", "", "Ã", "naïve café", "Îí çíàåò", "a\n" + it, "Tradu\ufffd\ufffdo", "日本語 – “x”"):
+        assert languages.repaired(text) == text
+    assert languages.repaired("città\n" + it.encode().decode("cp1252")) == "città\n" + it
+
+
 def test_languages_without_labels(spark):
     df = spark.createDataFrame([(1, None, cue(1, "some words"))], "doc_id bigint, lang string, text string")
     assert languages.mislabelled(languages.detect(df)).count() == 0
