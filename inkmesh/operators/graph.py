@@ -176,6 +176,30 @@ def similar(vertices: DataFrame, edges: DataFrame, node: str, top_n: int = 10) -
     return out.orderBy(F.col("score").desc(), "path").limit(top_n)
 
 
+def similar_to(vertices: DataFrame, edges: DataFrame, queries: DataFrame, top_n: int = 10) -> DataFrame:
+    """(query, path, score): ``similar`` for many query notes (path) at once, against all notes.
+
+    Unknown queries have no rows; ties are in order of path, and where fewer than top_n notes share
+    a neighbour, the first others follow with 0, as they do for one note.
+    """
+    nbrs = neighbour_pairs(edges)
+    sizes = nbrs.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    known = queries.select(F.col("path").alias("query")).distinct().join(vertices.select(F.col("path").alias("query")), "query", "left_semi")
+    known = known.join(sizes.select(F.col("path").alias("query"), F.col("n").alias("own")), "query", "left")
+    asked = nbrs.select(F.col("path").alias("query"), "nbr").join(known, "query")
+    shared = asked.join(nbrs, "nbr").where("query <> path").groupBy("query", "path").agg(F.count(F.lit(1)).alias("i"), F.first("own").alias("own"))
+    score = F.round(F.col("i") / (F.col("n") + F.col("own") - F.col("i")), 6)
+    near = shared.join(sizes, "path").select("query", "path", score.alias("score"))
+    # With the first 2 * top_n + 1 notes every query can be filled up, whatever it shares with them.
+    first = F.broadcast(vertices.select("path").orderBy("path").limit(2 * top_n + 1))
+    fill = known.select("query").join(first, F.col("query") != F.col("path")).select("query", "path", F.lit(0.0).alias("score"))
+    rows = near.unionByName(fill).groupBy("query", "path").agg(F.max("score").alias("score"))
+    part = F.pmod(F.xxhash64("path"), F.lit(PARTS))
+    for w in (Window.partitionBy("query", part), Window.partitionBy("query")):
+        rows = rows.withColumn("r", F.row_number().over(w.orderBy(F.col("score").desc(), "path"))).where(F.col("r") <= top_n).drop("r")
+    return rows
+
+
 def structural_classes(edges: DataFrame, threshold: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """(links: a, b, shared, union_size), (members: path, rep, n, members) of notes with common neighbours.
 
@@ -251,37 +275,28 @@ def structural_pairs(edges: DataFrame, threshold: float = 0.25, limit: int | Non
     return out.limit(limit) if limit is not None else out
 
 
-COLOURS = 3
-
-
 def communities(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(path, community): label propagation by colour classes, deterministic.
+    """(path, community): label propagation, deterministic.
 
-    A hash colours vertices into classes updated one after another; a vertex takes the most
-    frequent label around it, keeps its own where that is among them, else the largest. Of
-    neighbours of one colour that would move, only the one of largest hash does: so every move
-    adds edges within a label, no state can come back, and the rounds end. Stops when a round
-    changes nothing. A community is named by its smallest path.
+    Each round a vertex takes the most frequent label around it, keeps its own where that is among
+    them, else the largest. Of neighbours that would move, only the one of largest hash does: so
+    every move adds edges within a label, no state can come back, and the rounds end. Stops when
+    no vertex would move. A community is named by its smallest path.
     """
     nbrs = cut_round(neighbour_pairs(edges))
-    label = F.xxhash64("path")
-    labels = cut_round(vertices.select("path", label.alias("label"), F.pmod(label, F.lit(COLOURS)).alias("colour")))
-    moved = 1
-    while moved:
-        moved = 0
-        for colour in range(COLOURS):
-            own = labels.where(F.col("colour") == colour).select("path", F.col("label").alias("own"))
-            around = nbrs.join(labels.select(F.col("path").alias("nbr"), "label"), "nbr").join(own, "path")
-            ranked = around.groupBy("path", "own", "label").agg(F.count(F.lit(1)).alias("n"))
-            best = ranked.groupBy("path", "own").agg(F.max(F.struct("n", (F.col("label") == F.col("own")).alias("kept"), "label")).alias("b"))
-            news = best.where("b.label <> own").select("path", F.col("b.label").alias("new"))
-            news = cut_round(news)
-            a, b = news.select("path"), news.select(F.col("path").alias("nbr"))
-            order = lambda c: F.struct(F.xxhash64(c), F.col(c))
-            waits = nbrs.join(a, "path").join(b, "nbr").where(order("path") < order("nbr")).select("path").distinct()
-            news = news.join(waits, "path", "left_anti")
-            labels = cut_round(labels.join(news, "path", "left").select("path", F.coalesce("new", "label").alias("label"), "colour", F.col("new").isNotNull().alias("moved")))
-            moved += labels.where("moved").count()
+    labels = cut_round(vertices.select("path", F.xxhash64("path").alias("label")))
+    order = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    while True:
+        around = nbrs.join(labels.select(F.col("path").alias("nbr"), "label"), "nbr")
+        ranked = around.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n")).join(labels.withColumnRenamed("label", "own"), "path")
+        best = ranked.groupBy("path", "own").agg(F.max(F.struct("n", (F.col("label") == F.col("own")).alias("kept"), "label")).alias("b"))
+        news = cut_round(best.where("b.label <> own").select("path", F.col("b.label").alias("new")))
+        if news.isEmpty():
+            break
+        a, b = news.select("path"), news.select(F.col("path").alias("nbr"))
+        waits = nbrs.join(a, "path").join(b, "nbr").where(order("path") < order("nbr")).select("path").distinct()
+        moves = news.join(waits, "path", "left_anti")
+        labels = cut_round(labels.join(moves, "path", "left").select("path", F.coalesce("new", "label").alias("label")))
     names = labels.groupBy("label").agg(F.min("path").alias("community"))
     return labels.join(names, "label").select("path", "community")
 

@@ -467,3 +467,11 @@ SELECT path, sha256(text || CASE WHEN ends_with(text, chr(10)) THEN '' ELSE chr(
 
 
 SQL["fix_unlinked"] = _unlinked()
+SQL["similar_notes"] = (
+    RESOLVE
+    + """, sz AS (SELECT path, count(*) AS n FROM nb GROUP BY path),
+qs AS (SELECT DISTINCT path AS query FROM notes WHERE note_id % 100 = 0 AND deleted_at IS NULL AND path IN (SELECT path FROM v)),
+ov AS (SELECT query, b.path, count(*) AS i FROM qs JOIN nb a ON a.path = query JOIN nb b ON b.nbr = a.nbr WHERE b.path <> query GROUP BY 1, 2),
+sc AS (SELECT query, v.path, coalesce(round(i / (x.n + y.n - i), 6), 0) AS score FROM qs CROSS JOIN v LEFT JOIN ov USING (query, path) LEFT JOIN sz x ON x.path = query LEFT JOIN sz y ON y.path = v.path WHERE v.path <> query)
+SELECT query, path, score FROM sc QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, path) <= 10"""
+)

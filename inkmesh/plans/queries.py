@@ -234,6 +234,14 @@ def similar(spark, sf_dir):
     return graph.similar(v, e, _top_hub(v, e))
 
 
+@query
+def similar_notes(spark, sf_dir):
+    """The notes whose id is divisible by 100 are the queries, all notes are searched."""
+    _, v, e = _graph(spark, sf_dir)
+    asked = read_table(spark, sf_dir, "notes").where("note_id % 100 = 0 and deleted_at is null").select("path")
+    return graph.similar_to(v, e, asked)
+
+
 @query
 def structural_links(spark, sf_dir):
     """All pairs, by classes; structural_pairs, review, plan and verify_plan are the report of the first 100."""
