@@ -46,13 +46,14 @@ class Items:
         self.ids.append(item_id)
         self.texts.append(np.array([v.setdefault(w, len(v) + 1) for w in words(text)], dtype=np.int64))
 
-    def index(self) -> list[tuple[int, int]]:
-        """(gram, item_id) postings; sorts the hashes of seeds and runs for lookup."""
+    def index(self, runs: bool) -> list[tuple[int, int]]:
+        """(gram, item_id) postings; sorts the hashes of seeds, and of whole ``runs`` where asked, for lookup."""
         posts: dict[int, set[int]] = defaultdict(set)
         short = {len(t) for t in self.texts if 0 < len(t) < self.seed}
-        self.widths = sorted({self.seed, self.run, *short})
+        own = (self.seed, self.run) if runs else (self.seed,)
+        self.widths = sorted({*own, *short})
         for item, t in zip(self.ids, self.texts, strict=True):
-            for n in (self.seed, self.run) if len(t) >= self.seed else (len(t),):
+            for n in own if len(t) >= self.seed else (len(t),):
                 for g in grams(t, n)[0].view(np.int64).tolist():
                     posts[g].add(item)
         self.known = np.sort(np.array(list(posts), dtype=np.int64))
@@ -170,7 +171,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, seed: int = SEED, run: int
     spark, parts = documents.sparkSession, []
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     for items in _blocks(benchmark, seed, run):
-        posts = items.index()
+        posts = items.index(rare_df is not None)  # seeds of any frequency find every run
         if not posts:
             continue
         schema = "doc_id bigint, start int, words array<int>, grams array<bigint>"
